@@ -163,14 +163,14 @@ def prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, count(*) AS n_attempts, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 4) AS cost, bool_or(l_discount = 0) AS has_full_price FROM lineitem GROUP BY l_orderkey""")
+SELECT l_orderkey, count(*) AS n_attempts, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 6) AS cost, bool_or(l_discount = 0) AS has_full_price FROM lineitem GROUP BY l_orderkey""")
 def attempt_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts nested in a row, exploded and priced (36, 132)."""
     li = _t(spark, sf_dir, "lineitem")
     nested = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_extendedprice", "l_discount", "l_tax")).alias("attempts"))
     zero = F.lit(0.0)
     cost = F.aggregate("attempts", zero, lambda acc, a: acc + a["l_extendedprice"] * (1 - a["l_discount"]) * (1 + a["l_tax"]))
-    return nested.select("l_orderkey", F.size("attempts").cast("long").alias("n_attempts"), F.round(cost, 4).alias("cost"), F.exists("attempts", lambda a: a["l_discount"] == 0).alias("has_full_price"))
+    return nested.select("l_orderkey", F.size("attempts").cast("long").alias("n_attempts"), F.round(cost, 6).alias("cost"), F.exists("attempts", lambda a: a["l_discount"] == 0).alias("has_full_price"))
 
 
 @query("""
@@ -358,16 +358,16 @@ def latest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc, round(avg(l_quantity), 6) AS avg_qty, count(*) AS n
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
 def priced_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filtered, priced summary: the shape of the scanned summary (129, 132)."""
     li = _t(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count("*").alias("n"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("sum_disc"), F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.count("*").alias("n"))
 
 
 @query("""
-SELECT r_name, count(DISTINCT o_orderkey) AS n_orders, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT r_name, count(DISTINCT o_orderkey) AS n_orders, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
 FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY r_name""")
 def joined_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed lookups through several tables (101, 102, 103)."""
@@ -376,4 +376,4 @@ def joined_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One row an order first, so that the count of orders needs no distinct.
     per_order = t("lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
     o = t("orders").select("o_orderkey", "o_custkey").join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
-    return o.join(where, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("v"), 2).alias("revenue"))
+    return o.join(where, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_name").agg(F.count("*").alias("n_orders"), F.round(F.sum("v"), 4).alias("revenue"))
