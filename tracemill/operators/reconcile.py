@@ -5,9 +5,8 @@ W is the last good source write before F (no test, document, metadata-only or
 non-executable file), Wall the last good write of any kind. A test run counts
 only after W and in the foreground.
 
-`judge` decides one turn's claims over plain dicts; `judgements` runs it per
-session with a cogroup, so claims and facts meet on one shuffle key and a
-session, the size of one log, is the unit of work.
+`judge` decides one turn's claims over plain dicts; `judgements` runs it with a
+cogroup over buckets of sessions, so claims and facts meet in one shuffle.
 """
 
 from __future__ import annotations
@@ -432,31 +431,64 @@ def fact_table(writes: DataFrame, runs: DataFrame, checks: DataFrame, segments:
     return out
 
 
-def judgements(claims: DataFrame, facts: DataFrame, turns: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
-    """One row a claim. claims: rows of the claim struct with session_key, turn_index; turns: session_key, turn_index, final_seq, cwd (258, 259)."""
+#: What the judges read of each kind of fact.
+_READ = {
+    "writes": ["path", "op", "status", "metadata_only", "is_test", "is_doc", "runs", "reverted_by"],
+    "runs": ["raw", "green", "conclusive", "passed", "total", "background"],
+    "checks": ["raw", "tool", "check_family", "green"],
+    "segments": ["raw", "program", "argv", "family", "exit", "ran"],
+    "git": ["op", "ok", "sha", "pr_number", "ref"],
+}
+_NUMBERS = ("reverted_by", "passed", "total", "exit", "pr_number")
+
+
+def _records(pdf: pd.DataFrame, columns: list[str]) -> list[dict]:
+    """Rows as dicts, nulls as None, numbers as integers."""
+    data = {}
+    for c in columns:
+        values = pdf[c].tolist()
+        if c in _NUMBERS:
+            values = [None if v is None or v != v else int(v) for v in values]
+        elif c == "argv":
+            values = [None if v is None else list(v) for v in values]
+        else:
+            values = [None if isinstance(v, float) and v != v else v for v in values]
+        data[c] = values
+    return [dict(zip(columns, row, strict=True)) for row in zip(*data.values(), strict=True)]
+
+
+def judgements(claims: DataFrame, facts: DataFrame, turns: DataFrame, incomplete: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
+    """One row a claim. claims: rows of the claim struct with session_key, turn_index; turns: session_key, turn_index, final_seq, cwd (258, 259).
+
+    Sessions are small, so a hash of their key deals them into buckets and a bucket is what Python gets at once;
+    `buckets` grows with the shuffle partitions, which are set for the data's size.
+    """
     bound = claims.join(turns.select("session_key", "turn_index", "final_seq", "cwd"), ["session_key", "turn_index"])
-    flag = incomplete.select("session_key", F.lit(True).alias("incomplete")).distinct() if incomplete is not None else None
-    bound = bound.join(flag, "session_key", "left") if flag is not None else bound.withColumn("incomplete", F.lit(False))
+    if incomplete is not None:
+        bound = bound.join(incomplete.select("session_key", F.lit(True).alias("incomplete")).distinct(), "session_key", "left")
+    else:
+        bound = bound.withColumn("incomplete", F.lit(False))
+    n = buckets or 8 * max(1, int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket = F.pmod(F.xxhash64("session_key"), F.lit(n)).alias("_bucket")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        every = [{k: (None if not isinstance(v, (list, str, bool)) and not hasattr(v, "__len__") and v != v else v) for k, v in r.items()} for r in right.to_dict("records")]
-        for r in every:
-            if r.get("argv") is not None:
-                r["argv"] = list(r["argv"])
-            for k in ("seq", "ordinal", "turn_index", "exit", "passed", "total", "reverted_by", "pr_number"):
-                if r.get(k) is not None:
-                    r[k] = int(r[k])
+        by_session: dict[str, dict[str, list[dict]]] = {}
+        for kind, part in right.groupby("fact"):
+            for r in _records(part, ["session_key", "seq", "ordinal", "turn_index", *_READ[kind]]):
+                by_session.setdefault(r["session_key"], {}).setdefault(kind, []).append(r)
+        asked: dict[tuple, list[dict]] = {}
+        for r in _records(left, [c for c in left.columns if c != "_bucket"]):
+            asked.setdefault((r["session_key"], int(r["turn_index"])), []).append(r)
         rows = []
-        for turn, part in left.groupby("turn_index"):
-            first = part.iloc[0]
-            own = Facts(int(first["final_seq"]), int(turn), first["cwd"] or "/", **{name: [r for r in every if r["fact"] == name] for name in ("writes", "runs", "checks", "segments", "git")}, incomplete=bool(first["incomplete"]) if first["incomplete"] == first["incomplete"] and first["incomplete"] is not None else False)
-            asked = [{k: (None if isinstance(v, float) and v != v else v) for k, v in r.items()} for r in part.to_dict("records")]
-            for claim, name, j in judge(asked, own):
+        for (session, turn), claims_ in asked.items():
+            first = claims_[0]
+            own = Facts(int(first["final_seq"]), turn, first["cwd"] or "/", **by_session.get(session, {}), incomplete=bool(first["incomplete"]))
+            for claim, name, j in judge(claims_, own):
                 scored = claim["polarity"] == "positive" and claim["attribution"] == "agent" and claim["kind"] != "completion"
-                rows.append((claim["session_key"], int(turn), claim["claim_id"], claim["kind"], name, j.verdict, j.reason, j.evidence, j.notes, int(claim["position"]), scored))
+                rows.append((session, turn, claim["claim_id"], claim["kind"], name, j.verdict, j.reason, j.evidence, j.notes, int(claim["position"]), scored))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in JUDGED.split(", ")])
 
-    return bound.groupBy("session_key").cogroup(facts.groupBy("session_key")).applyInPandas(run, JUDGED)
+    return bound.select("*", bucket).groupBy("_bucket").cogroup(facts.select("*", bucket).groupBy("_bucket")).applyInPandas(run, JUDGED)
 
 
 def worst(verdict: str) -> Column:
