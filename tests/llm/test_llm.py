@@ -201,14 +201,18 @@ def test_near_duplicates_equal_brute_force(spark, words):
     assert sorted(r["doc_id"] for r in left) == sorted({c for _, c in want.values()})
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 10, 1000])
+def test_near_duplicates_in_blocks(spark, monkeypatch, dense):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
     texts = near_texts(9, 3, 60)
     want = brute_components(list(enumerate(texts)), 4, 80)
-    need = near_dedup.match_threshold(0.8)
-    base = near_dedup.signatures(docs_of(spark, texts), 4).where("n_shingles > 0").selectExpr("doc_id AS rep", "n_shingles AS n", "sig")
-    found = near_dedup.candidates(near_dedup.posts_of(base, need), need, 80)
-    roots = {r["node"]: r["root"] for r in rows_of(near_dedup.components(near_dedup.confirm(found, docs_of(spark, texts), 4, 80)))}
+    need, docs = near_dedup.match_threshold(0.8), docs_of(spark, texts)
+    base = near_dedup.signatures(docs, 4).where("n_shingles > 0").selectExpr("doc_id AS rep", "n_shingles AS n", "sig")
+    left = near_dedup.survivors_of(base, need)
+    found = near_dedup.candidates(near_dedup.posts_of(left, need, False), need, 80)
+    links = near_dedup.confirm(found, near_dedup.posts_of(left, need, True), docs, need, 4, 80)
+    roots = {r["node"]: r["root"] for r in rows_of(near_dedup.components(links))}
     assert {d: roots.get(d, d) for d in range(len(texts))} == {d: c for d, (_, c) in want.items()}
 
 

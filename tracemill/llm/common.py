@@ -20,6 +20,18 @@ def crc_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+#: Rows that a Python worker gets at once. Texts are long: Spark's own 10,000 would be tens of megabytes, several times over.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in spark.checkpoint.dir; set an own one only where none is set (tests, local runs)."""
     sc = spark.sparkContext

@@ -15,7 +15,9 @@
    rarest common value only, and kept if it reaches the match threshold.
 4. Candidates are confirmed on the full sets. Within a block, candidates that
    are already connected by confirmed links are skipped: this loses no
-   component and leaves at most one link a row.
+   component and leaves at most one link a row. Lists of more than DENSE rows
+   (large groups of near copies) are counted where they are confirmed, so that
+   their pairs are never written out.
 5. Components by alternating large-star and small-star steps.
 
 Defined results: texts without words, empty and null ones have the empty set
@@ -37,17 +39,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import checkpointed, shuffle_parts
+from tracemill.llm.common import checkpointed, shuffle_parts, small_batches
 
 COORDINATES = 64
 #: Share of links at the threshold that the count may miss.
 MISS = 1e-6
 #: Rows of a list that meet in one task are at most twice this.
 BLOCK = 512
+#: Rows of a list from which its pairs are counted and confirmed in one task.
+DENSE = 64
 #: Ids are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words whose hash a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _A = (np.random.default_rng(20240229).integers(1, 2**63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _words: dict[bytes, int] = {}
@@ -120,34 +124,46 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     return chosen.mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
 
 
-def posts_of(reps: DataFrame, need: int) -> DataFrame:
-    """Postings of the prefixes: token, bi, bj (pair of blocks), own (the row's block), coord, rep, n, vec."""
+def survivors_of(reps: DataFrame, need: int) -> DataFrame:
+    """rep, n, have: representatives with at least `need` values that others have too, and those values with their frequencies."""
     tokens = reps.select("rep", "n", F.posexplode("sig").alias("coord", "v")).select("rep", "n", F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    left = tokens.join(counts, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "token")).alias("have")).where(F.size("have") >= need)
+    return tokens.join(counts, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "token")).alias("have")).where(F.size("have") >= need)
+
+
+_POSTS = ("token", "bi", "bj", "own", "coord", "rep", "n", "vec")
+
+
+def posts_of(survivors: DataFrame, need: int, dense: bool) -> DataFrame:
+    """Postings of the prefixes in dense lists or in the others: token, bi, bj (pair of blocks), own (the row's block), coord, rep, n, vec."""
+    limit, block = DENSE, BLOCK
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: dict[str, list] = {k: [] for k in ("token", "bi", "bj", "own", "coord", "rep", "n", "vec")}
+            out: dict[str, list] = {k: [] for k in _POSTS}
             for rep, n, have in zip(pdf["rep"], pdf["n"], pdf["have"], strict=True):
                 have = sorted((int(x["df"]), int(x["token"])) for x in have)
+                prefix = [x for x in have[: len(have) - need + 1] if (x[0] > limit) == dense]
+                if not prefix:
+                    continue
                 # Coordinates that are gone get a value of their own row's, which collides with none but by chance.
-                v = np.frombuffer(xxhash.xxh64_digest(int(rep).to_bytes(8, "little", signed=True)) * (COORDINATES // 4), dtype="<u2").copy()
+                name = int(rep).to_bytes(8, "little", signed=True)
+                v = np.frombuffer(xxhash.xxh64_digest(name) * (COORDINATES // 4), dtype="<u2").copy()
                 v ^= np.arange(COORDINATES, dtype=np.uint16) * np.uint16(0x9E37)
                 rank = np.full(COORDINATES, 255, dtype=np.uint8)
                 for r, (_, token) in enumerate(have):
                     v[token >> 32] = (token ^ (token >> 16)) & 0xFFFF
                     rank[token >> 32] = r
                 vec = v.astype("<u2").tobytes() + rank.tobytes()
-                for df, token in have[: len(have) - need + 1]:
-                    blocks = -(-df // BLOCK)
-                    own = xxhash.xxh32_intdigest(int(rep).to_bytes(8, "little", signed=True), 7) % blocks
+                for df, token in prefix:
+                    blocks = -(-df // block)
+                    own = xxhash.xxh32_intdigest(name, 7) % blocks
                     for other in range(blocks):
-                        for k, x in (("token", token), ("bi", min(own, other)), ("bj", max(own, other)), ("own", own), ("coord", token >> 32), ("rep", rep), ("n", n), ("vec", vec)):
+                        for k, x in zip(_POSTS, (token, min(own, other), max(own, other), own, token >> 32, rep, n, vec), strict=True):
                             out[k].append(x)
             yield pd.DataFrame(out)
 
-    return left.mapInPandas(run, "token long, bi int, bj int, own int, coord int, rep long, n long, vec binary")
+    return survivors.mapInPandas(run, "token long, bi int, bj int, own int, coord int, rep long, n long, vec binary")
 
 
 class _Groups:
@@ -200,19 +216,34 @@ def _collide(v: np.ndarray, rank: np.ndarray, coord: np.ndarray, n: np.ndarray,
     return out
 
 
+def _vectors(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Values, ranks, coordinates, set sizes, names and blocks of posted rows."""
+    vec = np.frombuffer(b"".join(rows["vec"]), dtype=np.uint8).reshape(len(rows), 3 * COORDINATES)
+    v = np.ascontiguousarray(vec[:, : 2 * COORDINATES]).view("<u2")
+    return v, vec[:, 2 * COORDINATES :], rows["coord"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64), rows["own"].to_numpy(np.int64)
+
+
+def _pairs(own: np.ndarray, bi: int, bj: int, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows s to e that a pair of blocks is about."""
+    if bi == bj:
+        a, b = np.triu_indices(e - s, 1)
+        return a + s, b + s
+    one, two = s + np.flatnonzero(own[s:e] == bi), s + np.flatnonzero(own[s:e] == bj)
+    return np.repeat(one, len(two)), np.tile(two, len(one))
+
+
+_KEYS = ["token", "bi", "bj"]
+
+
 def candidates(posts: DataFrame, need: int, percent: int) -> DataFrame:
-    """token, bi, bj, rep, partners, hits: for each row of a pair of blocks the rows it collides with often enough."""
-    keys = ["token", "bi", "bj"]
+    """token, bi, bj, rep, partners, hits: for each row of a list the rows it collides with often enough; rows that are only partners have none."""
     parts = max(1, shuffle_parts(posts.sparkSession))
-    laid = posts.repartition(parts, *keys).sortWithinPartitions(*keys, "rep")
+    laid = posts.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS, "rep")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts in _Groups(batches, keys):
-            vec = np.frombuffer(b"".join(rows["vec"]), dtype=np.uint8).reshape(len(rows), 3 * COORDINATES)
-            v = np.ascontiguousarray(vec[:, : 2 * COORDINATES]).view("<u2")
-            rank = vec[:, 2 * COORDINATES :]
-            coord, n, rep, own = rows["coord"].to_numpy(), rows["n"].to_numpy(), rows["rep"].to_numpy(), rows["own"].to_numpy()
-            token, bi, bj = (rows[k].to_numpy() for k in keys)
+        for rows, starts in _Groups(batches, _KEYS):
+            v, rank, coord, n, rep, own = _vectors(rows)
+            token, bi, bj = (rows[k].to_numpy() for k in _KEYS)
             pend_a, pend_b, pending = [], [], 0
 
             def settle() -> pd.DataFrame | None:
@@ -223,16 +254,14 @@ def candidates(posts: DataFrame, need: int, percent: int) -> DataFrame:
                 if not len(a):
                     return None
                 cuts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-                first = a[cuts]
-                return pd.DataFrame({"token": token[first], "bi": bi[first], "bj": bj[first], "rep": rep[first], "partners": np.split(rep[b], cuts[1:]), "hits": [h.astype(np.int32) for h in np.split(hits, cuts[1:])]})
-
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                if bi[s] == bj[s]:
-                    a, b = np.triu_indices(e - s, 1)
-                    a, b = a + s, b + s
-                else:
-                    one, two = s + np.flatnonzero(own[s:e] == bi[s]), s + np.flatnonzero(own[s:e] == bj[s])
-                    a, b = np.repeat(one, len(two)), np.tile(two, len(one))
+                alone = np.setdiff1d(b, a)
+                first = np.concatenate((a[cuts], alone))
+                none = [np.zeros(0, dtype=np.int64)] * len(alone)
+                return pd.DataFrame({"token": token[first], "bi": bi[first], "bj": bj[first], "rep": rep[first], "partners": [*np.split(rep[b], cuts[1:]), *none], "hits": [*(h.astype(np.int32) for h in np.split(hits, cuts[1:])), *none]})
+
+            for g in range(len(starts) - 1):
+                s, e = starts[g], starts[g + 1]
+                a, b = _pairs(own, bi[s], bj[s], s, e)
                 if len(a):
                     pend_a.append(a)
                     pend_b.append(b)
@@ -259,12 +288,10 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirm(found: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: confirmed links that connect what all confirmed links connect, block by block."""
+def confirm(found: DataFrame, dense: DataFrame, docs: DataFrame, need: int, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b: confirmed links that connect what all confirmed links connect, block by block. found: candidates; dense: posted rows of dense lists."""
     spark = found.sparkSession
-    keys = ["token", "bi", "bj"]
-    needed = found.select("rep").unionByName(found.select(F.explode("partners").alias("rep"))).distinct()
-    needed = checkpointed(needed)
+    needed = checkpointed(found.select("rep").unionByName(dense.select("rep")).distinct())
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(needed, "rep", "left_semi")
@@ -276,12 +303,12 @@ def confirm(found: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
                 yield pd.DataFrame({"rep": part["rep"], "grams": [shingles(t, words).astype("<u8").tobytes() for t in part["text"]]})
 
     sets = texts.mapInPandas(cut, "rep long, grams binary")
-    members = found.select(*keys, "rep", "partners", "hits").unionByName(found.select(*keys, F.explode("partners").alias("rep")).distinct(), allowMissingColumns=True)
+    members = found.unionByName(dense, allowMissingColumns=True)
     parts = max(1, shuffle_parts(spark))
-    laid = members.join(sets, "rep").repartition(parts, *keys).sortWithinPartitions(*keys)
+    laid = members.join(sets, "rep").repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts in _Groups(batches, keys):
+        for rows, starts in _Groups(batches, _KEYS):
             links = []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 part = rows.iloc[s:e]
@@ -294,11 +321,25 @@ def confirm(found: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
                         x = root[x]
                     return x
 
-                pairs = [(-int(h), int(r), int(p)) for r, ps, hs in zip(part["rep"], part["partners"], part["hits"], strict=True) if ps is not None for p, h in zip(ps, hs, strict=True)]
-                for _, a, b in sorted(pairs):
-                    if a in sets_of and b in sets_of and (x := find(a)) != (y := find(b)) and _linked(sets_of[a], sets_of[b], percent):
-                        root[max(x, y)] = min(x, y)
-                        links.append((a, b))
+                def link(pairs: list[tuple[int, int]]) -> None:
+                    for a, b in pairs:
+                        if a in root and b in root and (x := find(a)) != (y := find(b)) and _linked(sets_of[a], sets_of[b], percent):
+                            root[max(x, y)] = min(x, y)
+                            links.append((a, b))
+
+                if part["vec"].iat[0] is not None:
+                    part = part.drop_duplicates("rep")
+                    v, rank, coord, n, rep, own = _vectors(part)
+                    a, b = _pairs(own, part["bi"].iat[0], part["bj"].iat[0], 0, len(part))
+                    for at in range(0, len(a), 65_536):
+                        i, j = a[at : at + 65_536], b[at : at + 65_536]
+                        hits = _collide(v, rank, coord, n, i, j, need, percent)
+                        # The likeliest links first: most of the others are then connected already.
+                        order = np.argsort(-hits, kind="stable")[: int((hits > 0).sum())]
+                        link(list(zip(rep[i[order]].tolist(), rep[j[order]].tolist(), strict=True)))
+                else:
+                    pairs = [(-int(h), int(r), int(p)) for r, ps, hs in zip(part["rep"], part["partners"], part["hits"], strict=True) for p, h in zip(ps, hs, strict=True)]
+                    link([(a, b) for _, a, b in sorted(pairs)])
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
 
@@ -330,12 +371,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept (whether that is the row's own id)."""
     if words < 1 or not 0 < percent <= 100:
         raise ValueError("words must be positive and percent in 1..100")
+    small_batches(docs.sparkSession)
     need = match_threshold(percent / 100)
     base = checkpointed(signatures(docs, words, id_col, text_col))
     groups = base.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = base.where("n_shingles > 0").join(groups.where("rep IS NOT NULL").select("h1", "h2", "rep"), ["h1", "h2"]).where(F.col("doc_id") == F.col("rep")).select("rep", F.col("n_shingles").alias("n"), "sig")
-    found = checkpointed(candidates(posts_of(reps, need), need, percent))
-    links = confirm(found, docs, words, percent, id_col, text_col)
+    left = checkpointed(survivors_of(reps, need))
+    found = checkpointed(candidates(posts_of(left, need, False), need, percent))
+    links = confirm(found, posts_of(left, need, True), docs, need, words, percent, id_col, text_col)
     # Rows that share an id are one document: its sets' representatives are linked.
     shared = base.where("n_shingles > 0 AND doc_id IS NOT NULL").join(groups, ["h1", "h2"]).where(F.col("doc_id") != F.col("rep")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     roots = components(links.unionByName(shared))
