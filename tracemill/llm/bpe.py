@@ -28,10 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import small_batches
+
 #: The pre-tokenizer's pattern (fixed value of the byte-level vocabularies).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Pre-tokens whose ids a worker keeps, twice: those in use and those of the turn before.
+CACHE_WORDS = 150_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -63,10 +65,13 @@ class PairIndexBPE:
         if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])):
             raise ValueError("added tokens with white-space rules are not supported")
         self.id_bytes |= {i: t.encode() for t, i in self.special.items()}
+        self.by_id = [self.id_bytes.get(i, b"") for i in range(max(self.id_bytes) + 1)]
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.content, self.library = content, None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # Ids of known pre-tokens, packed; a special token's id stands for itself.
+        self.cache: dict[str | int, bytes] = {}
+        self.older: dict[str | int, bytes] = {}  # what the cache held before it was last full
 
     def _pieces(self, text: str) -> list[str]:
         try:
@@ -91,28 +96,30 @@ class PairIndexBPE:
             out += [self.special[part]] if i % 2 else self._pieces(part) if part else []
         return out
 
-    def merge_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each word. One pair occurrence index serves all of them."""
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as unsigned 32-bit integers. One pair occurrence index serves all of them.
+
+        Symbols lie in one list with a -1 between words, so that no pair reaches over a word's end.
+        """
         symbols: list[int] = []
         starts: list[int] = []
         byte_id = self.byte_id
         for w in words:
             starts.append(len(symbols))
-            symbols += [byte_id[b] for b in w.encode()]
+            symbols += map(byte_id.__getitem__, w.encode())
+            symbols.append(-1)
         n = len(symbols)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s in starts:
-            prv[s] = -1
-            if s:
-                nxt[s - 1] = n
-        if n:
-            nxt[n - 1] = n
         merges, by_rank = self.merges, self.by_rank
         index: dict[int, list[int]] = {}
-        for i in range(n):
-            j = nxt[i]
-            if j < n and (m := merges.get((symbols[i], symbols[j]))) is not None:
-                index.setdefault(m[0], []).append(i)
+        for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)):
+            m = merges.get(pair)
+            if m is not None:
+                at = index.get(m[0])
+                if at is None:
+                    index[m[0]] = [i]
+                else:
+                    at.append(i)
         active = list(index)
         heapq.heapify(active)
         while active:
@@ -120,45 +127,61 @@ class PairIndexBPE:
             (left, right), new = by_rank[rank]
             for i in sorted(index.pop(rank)):  # leftmost first: in "aaa" the first two merge
                 j = nxt[i]
-                if symbols[i] != left or j >= n or symbols[j] != right:
+                if symbols[i] != left or symbols[j] != right:
                     continue  # an earlier merge took one of them
-                symbols[i], symbols[j] = new, -1
+                symbols[i], symbols[j] = new, -2
                 k = nxt[i] = nxt[j]
-                if k < n:
-                    prv[k] = i
-                    if (m := merges.get((new, symbols[k]))) is not None:
-                        if m[0] not in index:
-                            index[m[0]] = []
-                            heapq.heappush(active, m[0])
-                        index[m[0]].append(i)
-                h = prv[i]
-                if h >= 0 and (m := merges.get((symbols[h], new))) is not None:
-                    if m[0] not in index:
-                        index[m[0]] = []
+                prv[k] = i
+                m = merges.get((new, symbols[k]))
+                if m is not None:
+                    at = index.get(m[0])
+                    if at is None:
+                        index[m[0]] = [i]
                         heapq.heappush(active, m[0])
-                    index[m[0]].append(h)
-        ends = [*starts[1:], n]
-        return [tuple(x for x in symbols[s:e] if x >= 0) for s, e in zip(starts, ends, strict=True)]
+                    else:
+                        at.append(i)
+                h = prv[i]
+                if h >= 0:
+                    m = merges.get((symbols[h], new))
+                    if m is not None:
+                        at = index.get(m[0])
+                        if at is None:
+                            index[m[0]] = [h]
+                            heapq.heappush(active, m[0])
+                        else:
+                            at.append(h)
+        out = np.array(symbols, dtype=np.int64)
+        kept = out >= 0
+        ends = np.cumsum(kept)
+        packed = out[kept].astype("<u4").tobytes()
+        begins = [0, *(4 * ends[np.array(starts[1:], dtype=np.int64) - 1]).tolist(), len(packed)] if starts else []
+        return [packed[a:b] for a, b in zip(begins, begins[1:], strict=False)]
 
     def encode_batch(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.pretokens(t) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        fresh = list({p for pieces in split for p in pieces if p not in cache and isinstance(p, str)})
-        for at in range(0, len(fresh), 50_000):
-            some = fresh[at : at + 50_000]
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        fresh = set().union(*split) - cache.keys()
+        if older:
+            again = fresh & older.keys()
+            cache.update(zip(again, map(older.__getitem__, again), strict=True))
+            fresh -= again
+        cache.update({p: p.to_bytes(4, "little") for p in fresh if isinstance(p, int)})
+        words = [p for p in fresh if isinstance(p, str)]
+        for at in range(0, len(words), 50_000):
+            some = words[at : at + 50_000]
             cache.update(zip(some, self.merge_words(some), strict=True))
         for pieces in split:
-            ids: list[int] = []
-            for p in pieces:
-                ids += cache[p] if isinstance(p, str) else (p,)
-            yield np.array(ids, dtype="<u4")
+            yield np.frombuffer(b"".join(map(cache.__getitem__, pieces)), dtype="<u4")
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids, special tokens included; ids out of the vocabulary stand for nothing."""
-        return b"".join([self.id_bytes.get(i, b"") for i in ids]).decode("utf-8", errors="replace")
+        try:
+            return b"".join(map(self.by_id.__getitem__, ids)).decode("utf-8", errors="replace")
+        except IndexError:
+            return b"".join(self.id_bytes.get(i, b"") for i in ids).decode("utf-8", errors="replace")
 
 
 _made: dict[str, PairIndexBPE] = {}
@@ -172,8 +195,8 @@ def _tokenizer(content: str) -> PairIndexBPE:
     return _made[key]
 
 
-def _chunks(pdf: pd.DataFrame, col: str, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Slices of a batch of some four million characters, so that long texts in one batch need little memory at once."""
+def _chunks(pdf: pd.DataFrame, col: str, most: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """Slices of a batch of some million characters, so that long texts in one batch need little memory at once."""
     sizes = pdf[col].map(lambda t: len(t) if isinstance(t, str) else 0).cumsum()
     for _, part in pdf.groupby((sizes // most).to_numpy(), sort=True):
         yield part
@@ -181,6 +204,7 @@ def _chunks(pdf: pd.DataFrame, col: str, most: int = 4_000_000) -> Iterator[pd.D
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, ids (array of int) of every text; with_text adds the text."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -197,6 +221,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, text of every row of doc_id, ids."""
+    small_batches(encoded.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = encoded.sparkSession.sparkContext.broadcast(f.read())
 
@@ -210,6 +235,7 @@ def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass, so that no ids are moved."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())
 

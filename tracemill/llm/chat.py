@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import shuffle_parts
+from tracemill.llm.common import shuffle_parts, small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: Tokens a window may hold, and how many of them may be repeated history.
@@ -136,6 +136,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
     """One row per window: conv_id, window, n_system, n_repeated (turns before the span), text, the loss mask's spans, n_tokens. Windows of a conversation follow one another in one partition."""
     if budget < 1 or history < 0:
         raise ValueError("the budget must be positive and the history not negative")
+    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     laid = rows.repartition(max(1, shuffle_parts(rows.sparkSession)), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 

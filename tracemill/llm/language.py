@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import checkpointed
+from tracemill.llm.common import checkpointed, small_batches
 
 DIM = 4096
 SAMPLE_ROWS = 400
@@ -95,6 +95,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 def fit(docs: DataFrame, eligible: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """The model: idf, centroids, and the language of each centroid. eligible: which rows may be learned from."""
+    small_batches(docs.sparkSession)
     rows = docs.where(F.lit(True) if eligible is None else eligible).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     n_rows = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     each = min(SAMPLE_ROWS, max(1, SAMPLE_TOTAL // max(1, len(n_rows))))
@@ -161,6 +162,7 @@ def predict_batch(texts: list[str | None], model: dict) -> list[tuple[str, float
 
 def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred (nearest language; `und` without a letter), score, rejected (too far from every centroid)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

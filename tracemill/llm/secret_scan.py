@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import small_batches
+
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "lexed")
 #: Base patterns: fixed values of the task.
@@ -181,6 +183,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every text."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -198,6 +201,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every secret in their text replaced by a mark; all columns stay, null texts too."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
