@@ -1,7 +1,7 @@
 """Toxicity (operator 1): a counterfactually regularised linear classifier.
 
 Features are binary: the distinct words of a text and the words' prefixes of
-three to five letters. Logistic regression with a small L1 penalty is fitted on
+three to eight letters, of those that stand in MIN_TOXIC toxic rows at least. Logistic regression with a small L1 penalty is fitted on
 a bounded sample of labelled rows. For every labelled sentence that names a
 group, and for a list of neutral carrier sentences, the group's name is swapped
 for others; the squared change of the score is penalised, so a neutral mention
@@ -30,16 +30,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import bounded_sample_ids, checkpointed
+from tracemill.llm.common import bounded_sample_ids, checkpointed, small_batches
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 6_000
-MAX_FEATURES = 30_000
-#: Rows of the sample that must have a feature.
-MIN_ROWS = 3
-PREFIXES = (3, 4, 5)
+MAX_FEATURES = 6_000
+#: Toxic rows of the sample that must have a feature.
+MIN_TOXIC = 3
+PREFIXES = (3, 4, 5, 6, 7, 8)
+#: Share of the toxic rows in the loss: between their share of the rows and one half.
+TOXIC_SHARE = 0.25
 L1, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 300
 #: Words whose features a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 #: Group names that are swapped for one another.
 IDENTITY_TERMS = (
@@ -86,7 +88,7 @@ class Sparse:
 
     def __init__(self, rows: list[list[int]], n_cols: int, signs: list[list[float]] | None = None):
         self.n, self.n_cols = len(rows), n_cols
-        self.col = np.fromiter((c for r in rows for c in r), dtype=np.int64)
+        self.col = np.concatenate([np.zeros(0, dtype=np.int64), *(np.asarray(r, dtype=np.int64) for r in rows)])
         self.row = np.repeat(np.arange(self.n), [len(r) for r in rows]) if rows else np.zeros(0, dtype=np.int64)
         self.val = np.ones(len(self.col)) if signs is None else np.fromiter((s for r in signs for s in r), dtype=float)
 
@@ -98,9 +100,9 @@ class Sparse:
 
 
 def fit_weights(x: Sparse, y: np.ndarray, pairs: Sparse, l1: float = L1, counterfactual: float = COUNTERFACTUAL, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated proximal gradient descent. Classes weigh alike."""
+    """Weights and intercept by accelerated proximal gradient descent. The toxic rows weigh TOXIC_SHARE of all."""
     n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-    rate = np.where(y > 0, 0.5 / n1, 0.5 / n0)
+    rate = np.where(y > 0, TOXIC_SHARE / n1, (1 - TOXIC_SHARE) / n0)
 
     def gradient(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         e = (1 / (1 + np.exp(-np.clip(x.dot(w) + b, -30, 30))) - y) * rate
@@ -147,6 +149,7 @@ def _sample(docs: DataFrame, labels: DataFrame, eligible: Column) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> dict[str, float]:
     """Weights by feature; '' is the intercept. eligible: which label rows may be learned from (on doc_id)."""
     spark = docs.sparkSession
+    small_batches(spark)
     sample = checkpointed(_sample(docs, labels, F.lit(True) if eligible is None else eligible))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,13 +159,15 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> d
             for text, y in zip(pdf["text"], pdf["toxic"], strict=True):
                 (toxic if y == 1 else clean).update(features_of(text))
         keys = list(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"feature": keys, "t": [toxic[k] for k in keys], "c": [clean[k] for k in keys]})
+        for at in range(0, len(keys), 50_000):
+            some = keys[at : at + 50_000]
+            yield pd.DataFrame({"feature": some, "t": [toxic[k] for k in some], "c": [clean[k] for k in some]})
 
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
     if not n1 or not n0:
         return {"": 0.0 if n1 else -4.0}
-    counts = sample.mapInPandas(count, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") + F.col("c") >= MIN_ROWS)
+    counts = sample.mapInPandas(count, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= MIN_TOXIC)
     p1, p0 = (F.col("t") + 0.5) / (n1 + 1.0), (F.col("c") + 0.5) / (n0 + 1.0)
     # How surely a feature tells the classes apart: log odds in units of their standard error.
     z = F.abs(F.log(p1 / p0)) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
@@ -175,11 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> d
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = sent.value
         for pdf in batches:
-            rows = [sorted(at[f] for f in features_of(t) if f in at) for t in pdf["text"]]
-            pairs = [[x for a, b in counterfactuals(t, int(d) % 97) for x in ([-1, *[at[f] for f in a - b if f in at], -2, *[at[f] for f in b - a if f in at]])] for d, t in zip(pdf["doc_id"], pdf["text"], strict=True)]
+            rows = [np.array(sorted(at[f] for f in features_of(t) if f in at), dtype="<i4").tobytes() for t in pdf["text"]]
+            pairs = [np.array([x for a, b in counterfactuals(t, int(d) % 97) for x in ([-1, *[at[f] for f in a - b if f in at], -2, *[at[f] for f in b - a if f in at]])], dtype="<i4").tobytes() for d, t in zip(pdf["doc_id"], pdf["text"], strict=True)]
             yield pd.DataFrame({"toxic": pdf["toxic"], "doc_id": pdf["doc_id"], "ix": rows, "swapped": pairs})
 
-    got = sample.mapInPandas(encode, "toxic int, doc_id long, ix array<int>, swapped array<int>").orderBy("doc_id").collect()
+    got = sample.mapInPandas(encode, "toxic int, doc_id long, ix binary, swapped binary").orderBy("doc_id").collect()
     pair_rows, pair_signs = [], []
     for a, b in swaps:
         cols = [(index[f], 1.0) for f in a - b if f in index] + [(index[f], -1.0) for f in b - a if f in index]
@@ -187,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> d
         pair_signs.append([s for _, s in cols])
     for r in got:
         sign = 1.0
-        for v in r["swapped"]:
+        for v in np.frombuffer(bytes(r["swapped"]), dtype="<i4").tolist():
             if v == -1:
                 pair_rows.append([])
                 pair_signs.append([])
@@ -197,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> d
             else:
                 pair_rows[-1].append(v)
                 pair_signs[-1].append(sign)
-    x = Sparse([r["ix"] for r in got], len(own))
+    x = Sparse([np.frombuffer(bytes(r["ix"]), dtype="<i4") for r in got], len(own))
     y = np.array([1.0 if r["toxic"] == 1 else 0.0 for r in got])
     w, b = fit_weights(x, y, Sparse(pair_rows, len(own), pair_signs))
     return {f: float(v) for f, v in zip(own, w, strict=True) if v} | {"": min(b, -1.0)}
@@ -219,6 +224,7 @@ def score_text(text: str | None, model: dict[str, float], cache: dict[str, tuple
 
 def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every text."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,6 +241,7 @@ def score(docs: DataFrame, model: dict[str, float], id_col: str = "doc_id", text
 
 def keep_clean(docs: DataFrame, model: dict[str, float], text_col: str = "text") -> DataFrame:
     """The documents that the model does not reject, all columns as they are."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
