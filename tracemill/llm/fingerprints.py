@@ -132,7 +132,8 @@ def with_next(signed: DataFrame) -> DataFrame:
     below = spark.createDataFrame([(b, down[(i + 1) % len(down)]) for i, b in enumerate(down)], "_b long, _under long")
     first_ids = F.broadcast(spark.createDataFrame([(r["_o"],) for r in firsts], "_o long"))
     tie = F.xxhash64("text")
-    heads = rows.join(first_ids, "_o", "left_semi").groupBy(F.col("_b").alias("_under")).agg(F.min_by(F.struct("text", "signatures"), F.struct(-F.col("_o"), tie)).alias("_head"))
+    # Their signatures are made after they are chosen, not for all rows once more.
+    heads = with_signatures(rows.select("_o", "_b", "text").join(first_ids, "_o", "left_semi"), "text", "signatures").groupBy(F.col("_b").alias("_under")).agg(F.min_by(F.struct("text", "signatures"), F.struct(-F.col("_o"), tie)).alias("_head"))
     heads = below.join(heads, "_under").select(F.col("_b").alias("_hb"), "_head")
     w = Window.partitionBy("_b").orderBy(F.col("_o").desc(), tie)
     led = rows.withColumn("_next", F.lead(F.struct("text", "signatures")).over(w))
