@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import ann, bpe, chat, fingerprints, language, mixing, near_dedup, secret_scan, sharding, toxicity
+from tracemill.llm import ann, bpe, chat, fingerprints, language, mixing, near_dedup, oracles, secret_scan, sharding, toxicity
 from tracemill.llm.common import crc_of_id, table
 
 
@@ -85,4 +85,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
