@@ -381,6 +381,24 @@ def test_ann(spark):
     assert rows_of(ann.nearest(few.limit(0), F.col("vec_id") == 0)) == []
 
 
+@pytest.mark.parametrize("n", [1024, 16_384])
+def test_ann_finds_all_neighbours_among_near_copies(n):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, 23))
+    x[: n // 3] = x[0] + np.linalg.norm(x[0]) / np.sqrt(23) * rng.normal(size=(n // 3, 23)) * rng.choice([0.3, 0.1, 0.03, 0.01], size=(n // 3, 1))
+    ids, asks = rng.permutation(n) * 3, np.arange(0, n, n // 64)
+    order = np.argsort(ids)
+    x, ids = x[order], ids[order]
+    got = ann.search_block(ids[asks], x[asks], ids, x, ann.fit_codebooks(ann.unit(x[:1000])), 5)
+    d = ann.unit(x)
+    for q in asks:
+        cos = d @ d[q]
+        cos[q] = -2
+        want = np.argsort(-cos)[:5]
+        assert got[1][got[0] == ids[q]].tolist() == ids[want].tolist()
+        assert np.abs(got[2][got[0] == ids[q]] - cos[want]).max() < 1e-9
+
+
 def test_anisotropic_codes_lower_the_parallel_error():
     rng = np.random.default_rng(3)
     x = ann.unit(rng.normal(size=(2000, 32)))

@@ -9,10 +9,12 @@ the same way, by coordinate descent.
 
 The search scans four-bit tables: rows lie in blocks of at most BLOCK_ROWS, the
 queries in blocks of at most QUERY_ROWS, and each pair of blocks is one bounded
-task. A query's RERANK best rows of a block by the tables are scored exactly
-(cosine in double precision on the original vectors); only the best k a block
-leave the task, and a last ranking joins the blocks. Ties go to the smaller id
-in both steps.
+task. A query's RERANK best rows of a block by the tables give a cosine that the
+k best reach at least; then every row whose table score, with the angle between
+the row and what its code decodes to, allows that cosine is scored exactly
+(cosine in double precision on the original vectors), however many these are.
+Only the best k a block leave the task, and a last ranking joins the blocks.
+Ties go to the smaller id in both steps. So the best k are exact.
 
 Defined results: vectors that are null, empty, zero, of another length than the
 commonest, or that hold null or non-finite components take no part; rows with a
@@ -39,6 +41,8 @@ QUERY_ROWS = 2_048
 SUB, CODES = 2, 16
 ETA = 4.0
 RERANK = 64
+#: Far above what double precision loses in a cosine or a bound.
+MARGIN = 1e-7
 
 
 def _cut(x: np.ndarray) -> np.ndarray:
@@ -123,25 +127,63 @@ def table_scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.
     return out
 
 
+def _angles(xn: np.ndarray, codes: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each unit row: the length of its decoded vector, and cosine and sine of the angle between the two."""
+    length, along, across = np.zeros(len(xn)), np.zeros(len(xn)), np.ones(len(xn))
+    for at in range(0, len(xn), 2048):
+        x = xn[at : at + 2048]
+        y = books[np.arange(len(books))[None], codes[at : at + 2048]].reshape(len(x), -1)[:, : x.shape[1]]
+        size = np.linalg.norm(y, axis=1)
+        u = y / np.where(size > 0, size, 1.0)[:, None]
+        cos = (x * u).sum(1)
+        length[at : at + 2048], along[at : at + 2048], across[at : at + 2048] = size, cos, np.linalg.norm(x - cos[:, None] * u, axis=1)
+    return length, along, across
+
+
+def _most(approx: np.ndarray, length: np.ndarray, along: np.ndarray, across: np.ndarray, slack: float) -> np.ndarray:
+    """The largest cosine that a row can have with a query, given the table's product of the two.
+
+    The decoded vector is at a known angle from the row and at one, known but for the tables'
+    rounding, from the query: the row is nearest to the query at the difference of the two.
+    """
+    known = length > 0
+    size = np.where(known, length, 1.0)
+    c = approx / size
+    c = np.clip(np.clip(along, c - slack / size, c + slack / size), -1.0, 1.0)
+    return np.where(known, c * along + np.sqrt(1.0 - c * c) * across, 1.0) + MARGIN
+
+
 def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, books: np.ndarray, k: int, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, row ids, cosines): for each query the best k of a block's rows, which must be sorted by id."""
     qn, xn = unit(q), unit(x)
     codes = np.concatenate([encode(xn[at : at + 2048], books) for at in range(0, len(xn), 2048)])
+    # Padding of an odd dimension is zero in the query, so the decoded vector's last number there plays no part.
+    length, along, across = _angles(xn, codes, books)
+    # A sum of m single-precision products of two vectors is off by m + 2 roundings of the product of their lengths at most.
+    slack = (len(books) + 2) * float(np.finfo(np.float32).eps) * (1.0 + float(length.max(initial=0.0)))
     out_q, out_i, out_s = [], [], []
     take = min(rerank + k, len(ids))
     for at in range(0, len(q), 64):
         approx = table_scan(qn[at : at + 64], codes, books)
+        other = ids[None, :] != q_ids[at : at + 64, None]
+        approx[~other] = -np.inf
+        least = np.full(len(approx), -np.inf)  # the k-th exact cosine among the rows that the tables put first
+        if take < len(ids):
+            some = np.argpartition(approx, len(ids) - take, axis=1)[:, len(ids) - take :]
+            for j in range(len(approx)):
+                own = some[j][other[j, some[j]]]
+                if len(own) >= k:
+                    least[j] = np.partition(xn[own] @ qn[at + j], len(own) - k)[len(own) - k]
+        # Every row that may reach it is scored; the rest cannot be among the best k.
+        maybe = other & (_most(np.where(other, approx, 0.0), length, along, across, slack) >= least[:, None])
+        columns = np.flatnonzero(maybe.any(axis=0))
+        scored = qn[at : at + 64] @ xn[columns].T
         for j in range(len(approx)):
-            row = approx[j]
-            row[ids == q_ids[at + j]] = -np.inf
-            if take < len(ids):
-                # All that reach the score of the take-th; of ties at the border the smaller ids.
-                edge = np.partition(row, len(row) - take)[len(row) - take]
-                above, tied = np.flatnonzero(row > edge), np.flatnonzero(row == edge)
-                some = np.concatenate((above, tied[: take - len(above)]))
-            else:
-                some = np.arange(len(ids))
-            some = some[ids[some] != q_ids[at + j]]
+            some = np.flatnonzero(maybe[j, columns])
+            if len(some) > k:
+                row = scored[j, some]
+                some = some[row >= np.partition(row, len(row) - k)[len(row) - k] - MARGIN]
+            some = columns[some]
             exact = np.minimum(1.0, np.maximum(-1.0, cosines(q[at + j], x[some])))
             best = np.lexsort((ids[some], -exact))[:k]
             out_q += [q_ids[at + j]] * len(best)
