@@ -460,6 +460,17 @@ def test_secrets(spark):
     assert clean[0] == "x [SECRET] y" and clean[20] == texts[20] and clean[texts.index(None)] is None
 
 
+def test_every_name_that_scores_is_lexed():
+    for text in ('DB_PASS = "kX9vQ2mZr7pW"', 'smtp_pass: "kX9vQ2mZr7pW"', 'ENCRYPTION_KEY = "kX9vQ2mZr7pW"', 'session_key = "kX9vQ2mZr7pW"', 'SSH_KEY="kX9vQ2mZr7pW#Lq83xTzB5nD1"', 'master.key = "kX9vQ2mZr7pW#Lq83xTzB5nD1"', 'clientAccess = "kX9vQ2mZr7pW#Lq83xTzB5nD1"', 'to_ken = "kX9vQ2mZr7pW"'):
+        at = text.index("kX9v")
+        assert secret_scan.lexed_spans(text) == [(at, len(text) - (text[-1] == '"'), "lexed")], text
+    rng = random.Random(10)
+    for _ in range(3000):
+        parts = [rng.choice([*secret_scan.NAME_PARTS, "db", "x"]) for _ in range(rng.randint(1, 4))]
+        name = rng.choice(["_", ".", "-", "$", ""]).join(rng.choice([p, p.upper(), p.title(), "_".join(p)]) for p in parts)
+        assert secret_scan.name_score(name) < secret_scan.NAME_LEAST or secret_scan.may_name(f"a {name} b"), name
+
+
 # the registered queries
 
 

@@ -41,6 +41,9 @@ NAME_PARTS = {
 }
 #: Score from which a literal is a secret.
 THRESHOLD = 4.0
+#: What a name scores at least for its literals to be secrets.
+NAME_LEAST = 1.5
+_BY_VALUE = sorted(NAME_PARTS.items(), key=lambda x: -x[1])
 MIN_LITERAL = 8
 #: Values that stand for a secret that is kept elsewhere.
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*%|\{\{.*|(?:your|my|the|some|change|replace|insert|enter)[-_ ]?.*|.*(?:example|placeholder|redacted|changeme|dummy|sample).*|none|null|true|false|undefined|todo|test)$")
@@ -58,9 +61,6 @@ _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^&*-]+")
 _IDENT = re.compile(r"[A-Za-z_$][\w.$]*", re.A)
 _ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{0,80})>(?P<value>[^<>\n]{1,400})</(?P=name)>", re.A)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[_.\-$]+")
-#: What must stand in a text before it is lexed at all.
-_LEX_HINT = re.compile(r"(?i)passw|pwd|passphrase|secret|token|api_?-?key|credential|auth|bearer|private|signing|salt|cookie|dsn|access_?-?key", re.A)
-
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns, leftmost and not overlapping within a kind."""
@@ -145,13 +145,27 @@ def lex_pairs(text: str) -> Iterator[tuple[str, int, int, str]]:
         yield m["name"], m.start("value"), m.end("value"), m["value"]
 
 
+def may_name(text: str) -> bool:
+    """Whether a name in the text can reach NAME_LEAST: whether the name parts that stand anywhere in it add up to that, separators left out."""
+    low = text.lower()
+    for c in "_.-$":
+        low = low.replace(c, "")
+    left = NAME_LEAST
+    for part, value in _BY_VALUE:
+        if part in low:
+            left -= value
+            if left <= 0:
+                return True
+    return False
+
+
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    if not _LEX_HINT.search(text):
+    if not may_name(text):
         return []
     found = set()
     for name, start, end, value in lex_pairs(text):
         n = name_score(name)
-        if n >= 1.5 and n + literal_score(value) >= threshold:
+        if n >= NAME_LEAST and n + literal_score(value) >= threshold:
             found.add((start, end, "lexed"))
     return sorted(found)
 
