@@ -471,6 +471,23 @@ def test_every_name_that_scores_is_lexed():
         assert secret_scan.name_score(name) < secret_scan.NAME_LEAST or secret_scan.may_name(f"a {name} b"), name
 
 
+def test_secrets_of_any_length_and_number():
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcXYZ019+/") for _ in range(n))
+    value, name = make(1000), "a" * 100 + "_secret"
+    for text in (f"<auth_token>{value}</auth_token>", f'<{name}>{value}</{name}>', f'{name} = "{value}"', f'"{name}": "{value}"', f"run --{name} {value}"):
+        at = text.index(value)
+        assert (at, at + 1000, "lexed") in secret_scan.lexed_spans(text), text[:60]
+    pieces = [make(16) for _ in range(40)]
+    joined = " + ".join(f'"{x}"' for x in pieces)
+    for text in (f"private_key = {joined}", f"x = {joined}\nclient_secret = x"):
+        assert [text[a:b] for a, b, _ in secret_scan.lexed_spans(text)] == pieces
+    text = "s = 'x'\n" + "".join(f"s = s + '{x}'\n" for x in pieces) + "t = s + s\n" * 3 + "u = t + t\n" * 60 + "password = u"
+    assert [text[a:b] for a, b, _ in secret_scan.lexed_spans(text)] == pieces
+    text = "s = ''\n" + "s = s + 'x'\n" * 20_000 + "password = s"
+    assert secret_scan.lexed_spans(text) == []
+
+
 # the registered queries
 
 

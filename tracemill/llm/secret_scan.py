@@ -50,7 +50,7 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*%|\{\{.*|(?:your|m
 
 _LEX = re.compile(
     r"""
-    (?P<name>(?:(?<![\w.$-])["'](?P<qname>[A-Za-z_][\w.-]{0,80})["']|(?<![\w.$-])--?(?P<flag>[A-Za-z][\w-]{0,80})(?=[=\x20])|(?<![\w.$-])(?P<ident>[A-Za-z_$][\w.$-]{0,80})))
+    (?P<name>(?:(?<![\w.$-])["'](?P<qname>[A-Za-z_][\w.-]*)["']|(?<![\w.$-])--?(?P<flag>[A-Za-z][\w-]*)(?=[=\x20])|(?<![\w.$-])(?P<ident>[A-Za-z_$][\w.$-]*)))
     [\x20\t]*(?P<op>:=|=>|==?|:(?!//))?[\x20\t]*
     (?=["'`A-Za-z_$0-9+/])
     """,
@@ -59,7 +59,7 @@ _LEX = re.compile(
 _STRING = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^&*-]+")
 _IDENT = re.compile(r"[A-Za-z_$][\w.$]*", re.A)
-_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{0,80})>(?P<value>[^<>\n]{1,400})</(?P=name)>", re.A)
+_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*+)>(?P<value>[^<>\n]++)</(?P=name)>", re.A)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[_.\-$]+")
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -97,12 +97,33 @@ def literal_score(value: str) -> float:
     return score - (1.5 if kinds == 1 and not value.isdigit() and not re.fullmatch(r"[0-9a-f]+", value) else 0.0)
 
 
+class _Constant:
+    """What a name stands for: a literal, or the constants that it is joined from."""
+
+    __slots__ = ("literal", "parts", "score")
+
+    def __init__(self, literal: tuple[int, int, str] | None, parts: list[_Constant] | None = None):
+        self.literal, self.parts, self.score = literal, parts or [], -1.0
+
+    def raised(self, score: float) -> Iterator[tuple[int, int, str]]:
+        """The literals within that were never given for a name of this score. Scores are few, so each is met a few times only."""
+        left = [self]
+        while left:
+            c = left.pop()
+            if c.score < score:
+                c.score = score
+                if c.literal is not None:
+                    yield c.literal
+                left += c.parts
+
+
 def lex_pairs(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(name, start, end, value) of every literal that is assigned to a name, constants propagated.
 
-    A literal that reaches a name through a constant is given at the place where it is written.
+    A literal that reaches a name through a constant is given at the place where it is written,
+    and is not given again for a name that scores no higher than one it was given for.
     """
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    known: dict[str, _Constant] = {}
     at = 0
     while (m := _LEX.search(text, at)) is not None:
         name = m["qname"] or m["flag"] or m["ident"]
@@ -116,19 +137,19 @@ def lex_pairs(text: str) -> Iterator[tuple[str, int, int, str]]:
         while True:  # operands joined by +
             if (s := _STRING.match(text, pos)) is not None:
                 i = s.lastindex or 1
-                parts.append((s.start(i), s.end(i), s[i]))
+                parts.append(_Constant((s.start(i), s.end(i), s[i])))
                 literal, pos = True, s.end()
             elif not literal and not parts and (b := _BARE.match(text, pos)) is not None:
                 word = _IDENT.match(text, pos)
                 if word is not None and word[0] in known and (word.end() == b.end() or text[word.end() : word.end() + 1] in "+;,)"):
-                    parts += known[word[0]]
+                    parts.append(known[word[0]])
                     pos = word.end()
                 else:
-                    parts.append((b.start(), b.end(), b[0]))
+                    parts.append(_Constant((b.start(), b.end(), b[0])))
                     pos = b.end()
                     break
             elif (word := _IDENT.match(text, pos)) is not None and word[0] in known:
-                parts += known[word[0]]
+                parts.append(known[word[0]])
                 pos = word.end()
             else:
                 break
@@ -137,8 +158,8 @@ def lex_pairs(text: str) -> Iterator[tuple[str, int, int, str]]:
                 break
             pos = plus.end()
         if parts:
-            known[name] = parts[:8]
-            for start, end, value in parts[:8]:
+            known[name] = parts[0] if len(parts) == 1 else _Constant(None, parts)
+            for start, end, value in known[name].raised(name_score(name)):
                 yield name, start, end, value
         at = max(pos if parts else m.end("name"), m.end("name"), at + 1)
     for m in _ELEMENT.finditer(text):
