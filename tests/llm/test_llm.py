@@ -333,6 +333,37 @@ def test_mixing(spark, monkeypatch):
     assert rows_of(mixing.mix_sources(empty(spark))) == []
 
 
+def test_repeated_rows_keep_their_copies(spark):
+    rng = random.Random(16)
+    rows = [(i if i % 3 else None, " ".join([rng.choice(WORDS)] * rng.randint(0, 9)), rng.choice(["a", "b", "c", None]), str(i)) for i in range(600)]
+    rows += [(5, "dup dup", "a", "x")] * 3 + [(7, "dup dup dup", "b", "x")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+
+    def counts(of):
+        out = {}
+        for d, s, n, c in of:
+            out.setdefault((d, s, n), []).append(c)
+        return {k: sorted(v) for k, v in out.items() if sum(v)}
+
+    mixed = rows_of(mixing.mix_sources(docs))
+    want = counts((r["doc_id"], r["source"], r["size"], r["copies"]) for r in mixed)
+    assert any(len(set(v)) > 1 for v in want.values())
+    taken = rows_of(mixing.repeat_documents(docs, mixing.mix_sources(docs)))
+    copies = {}
+    for r in taken:
+        copies[tuple(r.values())] = copies.get(tuple(r.values()), 0) + 1
+    single = {k: sum(v) for k, v in want.items()}
+    got = {}
+    for (d, t, s, _), n in copies.items():
+        k = (d, s, len(t.split()))
+        got[k] = got.get(k, 0) + n
+    assert got == single and len(taken) == sum(r["copies"] for r in mixed)
+    distinct = {k: [copies.get(r, 0) for r in rows if (r[0], r[2], len(r[1].split())) == k] for k in want if k[0] is None}
+    assert all(sorted(v) == want[k] for k, v in distinct.items())
+    again = rows_of(mixing.repeat_documents(docs.repartition(7), mixing.mix_sources(docs.repartition(7))))
+    assert sorted(map(repr, again)) == sorted(map(repr, taken))
+
+
 def test_pivotal_keeps_expectation():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(30)]

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import WORD, checkpointed
@@ -38,6 +38,8 @@ GROUP_ROWS = 1000
 MAX_SOURCES = 1_000_000
 #: Below this many sources their targets are sent to all executors (some 50 bytes each).
 BROADCAST_SOURCES = 50_000
+#: Keys of repeated rows are sent to all executors up to this many (some 50 bytes each).
+BROADCAST_KEYS = 50_000
 _MASK = (1 << 64) - 1
 
 
@@ -168,10 +170,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies:
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixture itself: every document as many times as the mix takes it, with the columns of docs.
 
-    Rows that share id, source and size are one document to the join; they share its copies evenly, rounded down.
+    Rows that share id, source and size (rows without an id too) are one key to the join. The copies that the mix
+    gives them are handed out over them in the order of their hashes: they differ by one at most, as in the mix.
     """
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    per = mixed.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.floor(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0")
-    named = docs.withColumn("_words", words)
-    hit = named.join(per, named["doc_id"].eqNullSafe(per["_i"]) & named["source"].eqNullSafe(per["_s"]) & (named["_words"] == per["_n"]))
-    return hit.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    per = mixed.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows")).where("_sum > 0")
+    named = docs.withColumn("_words", words).withColumn("_long", F.col("doc_id").cast("long"))
+
+    def hit(keys: DataFrame) -> DataFrame:
+        return named.join(keys, named["_long"].eqNullSafe(keys["_i"]) & named["source"].cast("string").eqNullSafe(keys["_s"]) & (named["_words"] == keys["_n"]))
+
+    taken = hit(per.where("_rows = 1")).withColumn("_copies", F.col("_sum").cast("int"))
+    again = checkpointed(per.where("_rows > 1"))
+    n_again = again.count()
+    if n_again:
+        among = Window.partitionBy("_i", "_s", "_n").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        own = hit(F.broadcast(again) if n_again <= BROADCAST_KEYS else again).withColumn("_at", F.row_number().over(among))
+        share = F.floor(F.col("_sum") / F.col("_rows")) + (F.col("_at") <= F.col("_sum") % F.col("_rows")).cast("int")
+        taken = taken.unionByName(own.withColumn("_copies", share.cast("int")).drop("_at"))
+    return taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
