@@ -125,23 +125,27 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
 
 
 def survivors_of(reps: DataFrame, need: int) -> DataFrame:
-    """rep, n, have: representatives with at least `need` values that others have too, and those values with their frequencies."""
-    tokens = reps.select("rep", "n", F.posexplode("sig").alias("coord", "v")).select("rep", "n", F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("token"))
+    """rep, n, have: representatives with at least `need` values that others have too, and those values with their frequencies.
+
+    Other columns of reps but sig stay; together they must name a set, since sets that share an id may have one rep.
+    """
+    names = [c for c in reps.columns if c != "sig"]
+    tokens = reps.select(*names, F.posexplode("sig").alias("coord", "v")).select(*names, F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return tokens.join(counts, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("df", "token")).alias("have")).where(F.size("have") >= need)
+    return tokens.join(counts, "token").groupBy(*names).agg(F.collect_list(F.struct("df", "token")).alias("have")).where(F.size("have") >= need)
 
 
-_POSTS = ("token", "bi", "bj", "own", "coord", "rep", "n", "vec")
+_POSTS = ("token", "bi", "bj", "own", "coord", "rep", "h1", "n", "vec")
 
 
 def posts_of(survivors: DataFrame, need: int, dense: bool) -> DataFrame:
-    """Postings of the prefixes in dense lists or in the others: token, bi, bj (pair of blocks), own (the row's block), coord, rep, n, vec."""
+    """Postings of the prefixes in dense lists or in the others: token, bi, bj (pair of blocks), own (the row's block), coord, rep, h1 (of the set, if survivors have it), n, vec."""
     limit, block = DENSE, BLOCK
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: dict[str, list] = {k: [] for k in _POSTS}
-            for rep, n, have in zip(pdf["rep"], pdf["n"], pdf["have"], strict=True):
+            for rep, h1, n, have in zip(pdf["rep"], pdf["h1"], pdf["n"], pdf["have"], strict=True):
                 have = sorted((int(x["df"]), int(x["token"])) for x in have)
                 prefix = [x for x in have[: len(have) - need + 1] if (x[0] > limit) == dense]
                 if not prefix:
@@ -159,11 +163,13 @@ def posts_of(survivors: DataFrame, need: int, dense: bool) -> DataFrame:
                     blocks = -(-df // block)
                     own = xxhash.xxh32_intdigest(name, 7) % blocks
                     for other in range(blocks):
-                        for k, x in zip(_POSTS, (token, min(own, other), max(own, other), own, token >> 32, rep, n, vec), strict=True):
+                        for k, x in zip(_POSTS, (token, min(own, other), max(own, other), own, token >> 32, rep, h1, n, vec), strict=True):
                             out[k].append(x)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out).astype({"h1": "Int64"})
 
-    return survivors.mapInPandas(run, "token long, bi int, bj int, own int, coord int, rep long, n long, vec binary")
+    if "h1" not in survivors.columns:
+        survivors = survivors.withColumn("h1", F.lit(None).cast("long"))
+    return survivors.mapInPandas(run, "token long, bi int, bj int, own int, coord int, rep long, h1 long, n long, vec binary")
 
 
 class _Groups:
@@ -236,7 +242,7 @@ _KEYS = ["token", "bi", "bj"]
 
 
 def candidates(posts: DataFrame, need: int, percent: int) -> DataFrame:
-    """token, bi, bj, rep, partners, hits: for each row of a list the rows it collides with often enough; rows that are only partners have none."""
+    """token, bi, bj, rep, h1, partners, hits: for each row of a list the rows it collides with often enough; rows that are only partners have none."""
     parts = max(1, shuffle_parts(posts.sparkSession))
     laid = posts.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS, "rep")
 
@@ -257,7 +263,7 @@ def candidates(posts: DataFrame, need: int, percent: int) -> DataFrame:
                 alone = np.setdiff1d(b, a)
                 first = np.concatenate((a[cuts], alone))
                 none = [np.zeros(0, dtype=np.int64)] * len(alone)
-                return pd.DataFrame({"token": token[first], "bi": bi[first], "bj": bj[first], "rep": rep[first], "partners": [*np.split(rep[b], cuts[1:]), *none], "hits": [*(h.astype(np.int32) for h in np.split(hits, cuts[1:])), *none]})
+                return pd.DataFrame({"token": token[first], "bi": bi[first], "bj": bj[first], "rep": rep[first], "h1": rows["h1"].array[first], "partners": [*np.split(rep[b], cuts[1:]), *none], "hits": [*(h.astype(np.int32) for h in np.split(hits, cuts[1:])), *none]})
 
             for g in range(len(starts) - 1):
                 s, e = starts[g], starts[g + 1]
@@ -273,7 +279,7 @@ def candidates(posts: DataFrame, need: int, percent: int) -> DataFrame:
             if pending and (got := settle()) is not None:
                 yield got
 
-    return laid.mapInPandas(run, "token long, bi int, bj int, rep long, partners array<long>, hits array<int>")
+    return laid.mapInPandas(run, "token long, bi int, bj int, rep long, h1 long, partners array<long>, hits array<int>")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -300,19 +306,25 @@ def confirm(found: DataFrame, dense: DataFrame, docs: DataFrame, need: int, word
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
-                yield pd.DataFrame({"rep": part["rep"], "grams": [shingles(t, words).astype("<u8").tobytes() for t in part["text"]]})
+                grams = [shingles(t, words).astype("<u8").tobytes() for t in part["text"]]
+                yield pd.DataFrame({"rep": part["rep"], "own_set": [int.from_bytes(xxhash.xxh128_digest(g)[:8], "little", signed=True) for g in grams], "grams": grams})
 
-    sets = texts.mapInPandas(cut, "rep long, grams binary")
+    # Rows that repeat an id and its text have one set.
+    sets = texts.mapInPandas(cut, "rep long, own_set long, grams binary").repartition("rep").dropDuplicates(["rep", "own_set"])
     members = found.unionByName(dense, allowMissingColumns=True)
     parts = max(1, shuffle_parts(spark))
-    laid = members.join(sets, "rep").repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS)
+    laid = members.join(sets.withColumnRenamed("rep", "_rep"), (F.col("rep") == F.col("_rep")) & (F.col("h1").isNull() | (F.col("h1") == F.col("own_set")))).drop("_rep", "own_set").repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in _Groups(batches, _KEYS):
             links = []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 part = rows.iloc[s:e]
-                sets_of = {r: np.frombuffer(g, dtype="<u8") for r, g in zip(part["rep"], part["grams"], strict=True) if len(g)}
+                named: dict[int, set[bytes]] = {}  # an id's texts are one document: a link of any of its sets is the document's
+                for r, g in zip(part["rep"], part["grams"], strict=True):
+                    if len(g):
+                        named.setdefault(r, set()).add(g)
+                sets_of = {r: [np.frombuffer(g, dtype="<u8") for g in sorted(gs)] for r, gs in named.items()}
                 root = {r: r for r in sets_of}
 
                 def find(x: int) -> int:
@@ -323,12 +335,12 @@ def confirm(found: DataFrame, dense: DataFrame, docs: DataFrame, need: int, word
 
                 def link(pairs: list[tuple[int, int]]) -> None:
                     for a, b in pairs:
-                        if a in root and b in root and (x := find(a)) != (y := find(b)) and _linked(sets_of[a], sets_of[b], percent):
+                        if a in root and b in root and (x := find(a)) != (y := find(b)) and any(_linked(x1, x2, percent) for x1 in sets_of[a] for x2 in sets_of[b]):
                             root[max(x, y)] = min(x, y)
                             links.append((a, b))
 
                 if part["vec"].iat[0] is not None:
-                    part = part.drop_duplicates("rep")
+                    part = part.drop_duplicates(["rep", "h1", "vec"])
                     v, rank, coord, n, rep, own = _vectors(part)
                     a, b = _pairs(own, part["bi"].iat[0], part["bj"].iat[0], 0, len(part))
                     for at in range(0, len(a), 65_536):
@@ -375,7 +387,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     need = match_threshold(percent / 100)
     base = checkpointed(signatures(docs, words, id_col, text_col))
     groups = base.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = base.where("n_shingles > 0").join(groups.where("rep IS NOT NULL").select("h1", "h2", "rep"), ["h1", "h2"]).where(F.col("doc_id") == F.col("rep")).select("rep", F.col("n_shingles").alias("n"), "sig")
+    reps = base.where("n_shingles > 0").join(groups.where("rep IS NOT NULL").select("h1", "h2", "rep"), ["h1", "h2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "h1", "h2", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["h1", "h2"])
     left = checkpointed(survivors_of(reps, need))
     found = checkpointed(candidates(posts_of(left, need, False), need, percent))
     links = confirm(found, posts_of(left, need, True), docs, need, words, percent, id_col, text_col)
