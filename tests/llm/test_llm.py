@@ -150,6 +150,18 @@ def test_language(spark):
     assert {r["lang_pred"] for r in rows_of(language.predict(docs, none))} == {"und"}
 
 
+def test_language_rejects_scripts_not_learned(spark):
+    rng = random.Random(14)
+    parts = {"xx": [x + y for x in "bdfghklmnprstvz" for y in "aeiou"], "yy": [x + y + z for x in "bdfklmr" for y in "äöüy" for z in "cgnpstx"]}  # rich enough for hash collisions
+    make = lambda syllables, n: " ".join("".join(rng.choice(syllables) for _ in range(3)) for _ in range(n))
+    rows = [(i, make(parts[la], rng.randint(5, 120)), la) for i in range(400) for la in [("xx", "yy")[i % 2]]]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    strange = [make([chr(a + rng.randrange(30)) for _ in range(20)], n) for a in (0x10D0, 0xE01, 0x430, 0x4E00) for n in (20, 100) for _ in range(25)]
+    assert sum(r for _, _, r in language.predict_batch(strange, model)) >= 0.99 * len(strange)
+    own = [make(parts[la], n) for la in parts for n in (2, 5, 20, 100, 400) for _ in range(40)]
+    assert sum(r for _, _, r in language.predict_batch(own, model)) <= 0.05 * len(own)
+
+
 # 5 near-dedup
 
 
@@ -223,6 +235,20 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (-1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
 
 
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_near_duplicates_of_repeated_rows(spark, monkeypatch, dense):
+    monkeypatch.setattr(near_dedup, "DENSE", dense)
+    rng = random.Random(15)
+    texts = {c: [f"{c}{rng.randrange(2000)}" for _ in range(100)] for c in "pqrs"}
+    near = lambda c: " ".join([*texts[c][:99], "x"])
+    rows = [(10, " ".join(texts["p"]))] * 10 + [(10, " ".join(texts[c])) for c in "qr"]
+    rows += [(20, near("p")), (30, near("q")), (40, near("r")), (50, " ".join(texts["s"])), (60, near("s"))] + [(70, near("s"))] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in rows_of(near_dedup.near_duplicates(docs, 4))}
+    assert got == {(10, 10, True), (20, 10, False), (30, 10, False), (40, 10, False), (50, 50, True), (60, 50, False), (70, 50, False)}
+    assert near_dedup.near_duplicates(docs, 4).count() == len(rows)
+
+
 def test_match_threshold():
     t = near_dedup.match_threshold(0.8, 64, 1e-6)
     assert sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(t)) <= 1e-6

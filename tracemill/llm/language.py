@@ -6,8 +6,10 @@ character bigrams and trigrams are hashed to DIM columns. Rows weigh
 all rows that may be learned from. A bounded sample (SAMPLE_ROWS a language,
 chosen by the hash of the id) is clustered to CENTROIDS centroids a language by
 spherical k-means. A text gets the language of the centroid with the largest
-cosine; beyond a distance of MAX_DISTANCE (a text without a letter is at
-distance 1) it is rejected.
+cosine. It is rejected beyond a distance of MAX_DISTANCE (a text without a letter
+is at distance 1), and below half the cosine that nearly all learned texts of
+its length reach in that language: fit thins the sample's rows to 1, 2, 4, ...
+n-grams and takes the OWN_QUANTILE quantile of each length and language.
 
 Defined results: null and empty texts and those without a letter are `und` with
 score 0; the score is the cosine, 0 to 1; ties go to the language that sorts
@@ -32,6 +34,10 @@ SAMPLE_ROWS = 400
 SAMPLE_TOTAL = 8_000
 CENTROIDS = 4
 MAX_DISTANCE = 0.97
+#: Quantile of the learned texts' own cosines, and the share of it that a text must reach: collisions alone give far less, unseen texts of the language more.
+OWN_QUANTILE, OWN_SHARE = 0.01, 0.5
+#: Lengths of texts, as powers of two of n-grams, that have limits of their own; longer texts have the last one's.
+LENGTHS = 24
 UNKNOWN = "und"
 _MAP: list[np.ndarray] = []
 
@@ -93,8 +99,26 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return c
 
 
+def own_limits(counts: np.ndarray, c: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """(LENGTHS,): a share OWN_SHARE of the cosine that all but OWN_QUANTILE of a language's rows, thinned to 2 ** length n-grams, reach with its centroids.
+
+    A length that under a quarter of the rows have takes the limit of the next shorter one: few rows make no quantile.
+    """
+    rng = np.random.default_rng(0)
+    seen: list[list[float]] = [[] for _ in range(LENGTHS)]
+    for row in counts:
+        grams = rng.permutation(np.repeat(np.arange(DIM), row))
+        thin = np.stack([np.bincount(grams[: 1 << p], minlength=DIM) for p in range(min(LENGTHS, len(grams).bit_length()))])
+        for p, cos in enumerate((weighted(thin, idf) @ c.T).max(axis=1)):
+            seen[p].append(float(cos))
+    out = np.zeros(LENGTHS, dtype=np.float32)
+    for p, cos in enumerate(seen):
+        out[p] = OWN_SHARE * np.quantile(cos, OWN_QUANTILE) if cos and 4 * len(cos) >= len(counts) else out[p - 1] if p else 0.0
+    return out
+
+
 def fit(docs: DataFrame, eligible: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """The model: idf, centroids, and the language of each centroid. eligible: which rows may be learned from."""
+    """The model: idf, centroids, and the language and, by length, the limits of each centroid. eligible: which rows may be learned from."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.lit(True) if eligible is None else eligible).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     n_rows = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -129,18 +153,20 @@ def fit(docs: DataFrame, eligible: Column | None = None, id_col: str = "doc_id",
     for r in seen.where(F.col("lang").isNotNull()).select("lang", "number", "data").collect():
         samples.setdefault(r["lang"], []).append((r["number"], bytes(r["data"])))
     idf = (np.log((n + 1) / (idf_sum + 1)) + 1).astype(np.float32)
-    langs, centroids = [], []
+    langs, centroids, limits = [], [], []
     for lang in sorted(samples):
         some = sorted(samples[lang])[: 2 * each]
-        x = weighted(np.stack([np.frombuffer(d, dtype="<u2") for _, d in some]), idf)
+        own = np.stack([np.frombuffer(d, dtype="<u2") for _, d in some])
+        x = weighted(own, idf)
         c = spherical_kmeans(x, CENTROIDS)
+        limits.append(np.tile(own_limits(own, c, idf), (len(c), 1)))
         centroids.append(c)
         langs += [lang] * len(c)
-    return {"idf": idf, "centroids": np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, DIM), np.float32), "langs": langs}
+    return {"idf": idf, "centroids": np.concatenate(centroids).astype(np.float32) if centroids else np.zeros((0, DIM), np.float32), "langs": langs, "limits": np.concatenate(limits) if limits else np.zeros((0, LENGTHS), np.float32)}
 
 
 def predict_batch(texts: list[str | None], model: dict) -> list[tuple[str, float, bool]]:
-    """(nearest language, cosine, whether it is beyond MAX_DISTANCE) of each text."""
+    """(nearest language, cosine, whether it is beyond MAX_DISTANCE or its limit) of each text."""
     langs, out = model["langs"], []
     for at in range(0, len(texts), 256):
         counts = [ngram_counts(t) for t in texts[at : at + 256]]
@@ -155,7 +181,8 @@ def predict_batch(texts: list[str | None], model: dict) -> list[tuple[str, float
                 out.append((UNKNOWN, 0.0, True))
             else:
                 s = float(min(1.0, max(0.0, cos[j, best[j]])))
-                out.append((langs[best[j]], s, 1 - s > MAX_DISTANCE))
+                length = min(LENGTHS, int(c.sum()).bit_length()) - 1
+                out.append((langs[best[j]], s, bool(1 - s > MAX_DISTANCE or s < model["limits"][best[j], length])))
                 j += 1
     return out
 
