@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tracemill.llm import ann, bpe, chat, fingerprints, language, mixing, near_dedup, queries, secret_scan, sharding, toxicity
@@ -95,6 +96,27 @@ def test_bpe_equals_the_library(spark):
     assert rows_of(bpe.round_trip(empty(spark), path)) == []
 
 
+@pytest.mark.parametrize(("many", "batch", "split"), [(1, 500, 100), (10**9, 10**6, 10**6)])
+def test_bpe_paths_agree(monkeypatch, many, batch, split):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "MANY", many)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", batch)
+    monkeypatch.setattr(bpe, "SPLIT_CHARS", split)
+    path = queries.tokenizer_path()
+    with open(path, encoding="utf-8") as f:
+        own = bpe.PairIndexBPE(f.read())
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(13)
+    texts = [*odd_texts(), "".join(chr(c) + " " + chr(c) + "a" for c in range(256)), "aaaa aaa aa a " * 300, " ".join("".join(rng.choice("abet'S1 \n") for _ in range(9)) for _ in range(3000))]
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    got = [x for _, ids in bpe._encoded(own, iter([rows.iloc[:7], rows.iloc[7:7], rows.iloc[7:]])) for x in ids]
+    for t, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == lib.encode(t or "", add_special_tokens=False).ids
+        assert own.decode(ids) == (t or "")
+    assert own.decode(np.array([-5, 10**7])) == ""
+
+
 # 3 chat
 
 
