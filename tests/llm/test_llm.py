@@ -63,6 +63,34 @@ def test_toxicity_learns_and_ignores_groups(spark):
     assert kept == {i for i in range(240) if i % 4}
 
 
+def test_toxicity_penalty_and_brute_force_scores(spark):
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        words = [rng.choice(WORDS) for _ in range(rng.randint(5, 30))] + (["wretch"] if toxic and rng.random() < 0.7 else [])
+        if rng.random() < (0.8 if toxic else 0.05):
+            words.insert(0, rng.choice(["gay", "frauen", "arabes", "mujeres"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(3, "another text of the same id")] * 50 + [(None, "muslims live here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    names = ("gay", "women", "frauen", "arabes", "mujeres", "judíos")
+    gaps = {}
+    for weight in (0.0, 1.0):
+        model = toxicity.fit(docs, labels, counterfactual=weight)
+        assert model[""] <= toxicity.INTERCEPT
+        neutral = [toxicity.score_text(f"{g} live here", model, {}) for g in names]
+        gaps[weight] = max(neutral) - min(neutral)
+    assert gaps[1.0] < 0.3 * gaps[0.0] and gaps[0.0] > 0.1
+    for r in rows_of(toxicity.score(docs, model).join(docs, "doc_id").where("doc_id != 3")):
+        words = set(re.findall(r"[^\W\d_]+", r["text"].lower()))
+        own = {"=" + w for w in words} | {w[:n] for w in words for n in range(3, 9) if n < len(w)}
+        want = 1 / (1 + math.exp(-(model[""] + sum(v for f, v in model.items() if f in own))))
+        assert r["score"] == pytest.approx(want) and r["predicted"] == int(want >= 0.5)
+
+
 def test_toxicity_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = docs_of(spark, odd_texts())
@@ -172,6 +200,43 @@ def test_language(spark):
     assert {r["lang_pred"] for r in rows_of(language.predict(docs, none))} == {"und"}
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 20)
+    seen = []
+    plain = language.spherical_kmeans
+    monkeypatch.setattr(language, "spherical_kmeans", lambda x, k: seen.append(len(x)) or plain(x, k))
+    rng = random.Random(22)
+    rows = [(None if i % 2 else 5, " ".join(rng.choice(["abra", "kad", "ab", "rab"]) for _ in range(9)) if i % 3 else "abra kad", "xx") for i in range(900)] + [(i, "zz yy xx", "yy") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs.repartition(3))
+    assert len(seen) == 2 and min(seen) == 3 and 8 <= max(seen) <= 20 and set(model["langs"]) == {"xx", "yy"}
+    again = language.fit(docs.repartition(7))
+    assert (again["centroids"] == model["centroids"]).all()
+
+
+def test_language_equals_a_scan_of_all_centroids(spark):
+    rng = random.Random(23)
+    parts = {"xx": ["ka", "ri", "to", "mu"], "yy": ["sch", "ein", "ung", "ver"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[la]) for _ in range(3)) for _ in range(rng.randint(1, 40))), la) for i in range(120) for la in [("xx", "yy")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, language.F.col("doc_id") % 3 != 0)
+    got = {r["doc_id"]: r for r in rows_of(language.predict(docs, model))}
+    for i, text, la in rows:
+        padded = f" {text} "
+        v = np.zeros(language.DIM)
+        grams = [padded[k : k + n] for n in (2, 3) for k in range(len(padded) - n + 1)]
+        for g in grams:  # one gram's column is what the operator gives a text of it alone, less its own padding
+            c = [np.uint32(ord(x)) for x in g]
+            with np.errstate(over="ignore"):
+                h = (c[0] * np.uint32(0x9E3779B1)) ^ (c[1] * np.uint32(0x85EBCA77))
+                h = h * np.uint32(0x165667B1) if len(g) == 2 else ((h * np.uint32(0xC2B2AE3D)) ^ (c[2] * np.uint32(0x27D4EB2F))) * np.uint32(0x9E3779B1)
+            v[int(h) >> 20] += 1
+        x = np.log1p(v) * model["idf"]
+        cos = [float(x @ c / np.linalg.norm(x)) for c in model["centroids"]]
+        assert got[i]["score"] == pytest.approx(max(cos), abs=1e-5)
+        assert got[i]["lang_pred"] == model["langs"][int(np.argmax(cos))] == la
+
+
 def test_language_rejects_scripts_not_learned(spark):
     rng = random.Random(14)
     parts = {"xx": [x + y for x in "bdfghklmnprstvz" for y in "aeiou"], "yy": [x + y + z for x in "bdfklmr" for y in "äöüy" for z in "cgnpstx"]}  # rich enough for hash collisions

@@ -3,8 +3,8 @@
 A text is lower-cased, everything but letters becomes one space, and its
 character bigrams and trigrams are hashed to DIM columns. Rows weigh
 (1 + log tf) * idf and have length one. Document frequencies are counted over
-all rows that may be learned from. A bounded sample (SAMPLE_ROWS a language,
-chosen by the hash of the id) is clustered to CENTROIDS centroids a language by
+all rows that may be learned from. A bounded sample (SAMPLE_ROWS a language at
+most, those with the smallest hash of id and text; equal rows count once) is clustered to CENTROIDS centroids a language by
 spherical k-means. A text gets the language of the centroid with the largest
 cosine. It is rejected beyond a distance of MAX_DISTANCE (a text without a letter
 is at distance 1), and below half the cosine that nearly all learned texts of
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import checkpointed, small_batches
@@ -123,39 +123,42 @@ def fit(docs: DataFrame, eligible: Column | None = None, id_col: str = "doc_id",
     rows = docs.where(F.lit(True) if eligible is None else eligible).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     n_rows = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     each = min(SAMPLE_ROWS, max(1, SAMPLE_TOTAL // max(1, len(n_rows))))
-    # Rows whose hash is below the language's share: about `each` of them, the same ones on every run.
-    share = F.create_map(*[F.lit(v) for k, n in sorted(n_rows.items()) for v in (k, min(1.0, 1.2 * each / n))])[F.col("lang")] if n_rows else F.lit(1.0)
-    taught = rows.withColumn("taken", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    # Rows whose hash is below the language's share, the same ones on every run: a few more than `each` of them are expected.
+    share = F.create_map(*[F.lit(v) for k, n in sorted(n_rows.items()) for v in (k, min(1.0, 1.3 * each / n))])[F.col("lang")] if n_rows else F.lit(1.0)
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 60))
+    taught = rows.withColumn("slot", F.when(hashed < share * float(1 << 60), hashed))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n, sample = np.zeros(DIM, dtype=np.int64), 0, []
+        df, n, sample = np.zeros(DIM, dtype=np.int64), 0, {}
         for pdf in batches:
-            for doc_id, text, lang, taken in zip(pdf["doc_id"], pdf["text"], pdf["lang"], pdf["taken"], strict=True):
+            for text, lang, slot in zip(pdf["text"], pdf["lang"], pdf["slot"].astype("Int64").array, strict=True):
                 c = ngram_counts(text)
                 if c is None:
                     continue
                 df += c > 0
                 n += 1
-                if taken:
-                    sample.append((lang, np.minimum(c, 65535).astype("<u2").tobytes(), int(doc_id) if doc_id == doc_id else -1))
+                if slot is not pd.NA:
+                    sample[lang, int(slot)] = np.minimum(c, 65535).astype("<u2").tobytes()  # rows that are repeated have one slot
         yield pd.DataFrame({"lang": [None], "data": [None], "number": [n], "df": [df]})
         if sample:
-            yield pd.DataFrame({"lang": [s[0] for s in sample], "data": [s[1] for s in sample], "number": [s[2] for s in sample], "df": None})
+            yield pd.DataFrame({"lang": [s[0] for s in sample], "data": list(sample.values()), "number": [s[1] for s in sample], "df": None})
 
     # One pass over the texts gives a row of DIM numbers a partition, which Spark adds up, and the bounded sample.
-    seen = checkpointed(taught.mapInPandas(learn, "lang string, data binary, number long, df array<long>"))
+    seen = checkpointed(taught.select("text", "lang", "slot").mapInPandas(learn, "lang string, data binary, number long, df array<long>"))
     counted = seen.where(F.col("df").isNotNull())
     n = counted.agg(F.coalesce(F.sum("number"), F.lit(0)).alias("n")).collect()[0]["n"]
     idf_sum = np.zeros(DIM, dtype=np.int64)
     for r in counted.select(F.posexplode("df").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect():
         idf_sum[r["at"]] = r["v"]
     samples: dict[str, list[tuple[int, bytes]]] = {}
-    for r in seen.where(F.col("lang").isNotNull()).select("lang", "number", "data").collect():
+    sampled = seen.where(F.col("lang").isNotNull()).select("lang", "number", "data").dropDuplicates(["lang", "number"])
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("number"))
+    for r in sampled.withColumn("at", least).where(F.col("at") <= each).select("lang", "number", "data").collect():
         samples.setdefault(r["lang"], []).append((r["number"], bytes(r["data"])))
     idf = (np.log((n + 1) / (idf_sum + 1)) + 1).astype(np.float32)
     langs, centroids, limits = [], [], []
     for lang in sorted(samples):
-        some = sorted(samples[lang])[: 2 * each]
+        some = sorted(samples[lang])
         own = np.stack([np.frombuffer(d, dtype="<u2") for _, d in some])
         x = weighted(own, idf)
         c = spherical_kmeans(x, CENTROIDS)
