@@ -7,12 +7,14 @@ group, and for a list of neutral carrier sentences, the group's name is swapped
 for others; the squared change of the score is penalised, so a neutral mention
 of a group, of whichever one, does not move the score.
 
-Sample bounds: SAMPLE_TOXIC and SAMPLE_CLEAN rows, those with the smallest hash
-of their id, so that reruns and other partitionings fit the same model.
+Sample bounds: SAMPLE_TOXIC and SAMPLE_CLEAN ids, those with the smallest hash,
+and one text of each, so that reruns and other partitionings fit the same model.
+The intercept is fitted under the bound INTERCEPT: a text that says nothing is clean.
 The model has at most MAX_FEATURES strings and is sent to all executors.
 
 Defined results: null and empty texts have no features and get the score of the
-intercept, below 0.5; equal texts have equal scores; texts are scored whole,
+intercept, below 0.5; of rows that share an id the text with the smallest hash
+is learned from; equal texts have equal scores; texts are scored whole,
 whatever their length; rows of `labels` that repeat an id count once, as toxic
 if any says so; null labels and ids are left out; without labelled rows, or
 with one class only, the model is a constant; other columns are ignored.
@@ -40,20 +42,34 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Share of the toxic rows in the loss: between their share of the rows and one half.
 TOXIC_SHARE = 0.25
 L1, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 300
+#: The largest intercept: a text without features scores 0.27 at most.
+INTERCEPT = -1.0
 #: Words whose features a worker keeps.
 CACHE_WORDS = 150_000
 
-#: Group names that are swapped for one another.
-IDENTITY_TERMS = (
-    "muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu", "hindus", "buddhist", "atheist", "catholic", "women", "woman", "men", "man", "gay", "lesbian", "bisexual", "transgender", "queer", "straight",
-    "black", "white", "asian", "african", "latino", "arab", "indian", "chinese", "mexican", "european", "american", "immigrant", "immigrants", "refugee", "refugees", "disabled", "deaf", "blind", "elderly", "young",
-)
+#: Group names that are swapped for one another, by language.
+IDENTITY_TERMS = {
+    "en": (
+        "muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu", "hindus", "buddhist", "atheist", "catholic", "women", "woman", "men", "man", "gay", "lesbian", "bisexual", "transgender", "queer", "straight",
+        "black", "white", "asian", "african", "latino", "arab", "indian", "chinese", "mexican", "european", "american", "immigrant", "immigrants", "refugee", "refugees", "disabled", "deaf", "blind", "elderly", "young",
+    ),
+    "de": ("muslime", "christen", "juden", "hindus", "buddhisten", "katholiken", "frauen", "männer", "schwule", "lesben", "ausländer", "flüchtlinge", "migranten", "afrikaner", "asiaten", "türken", "araber", "behinderte", "gehörlose", "rentner"),
+    "fr": ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "catholiques", "femmes", "hommes", "homosexuels", "lesbiennes", "étrangers", "réfugiés", "immigrés", "africains", "asiatiques", "arabes", "handicapés", "sourds", "aveugles", "retraités"),
+    "es": ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "católicos", "mujeres", "hombres", "homosexuales", "lesbianas", "extranjeros", "refugiados", "inmigrantes", "africanos", "asiáticos", "árabes", "discapacitados", "sordos", "ciegos", "jubilados"),
+}
 #: Neutral sentences in which every group's name is tried.
-CARRIERS = ("i am a {} person", "my neighbours are {}", "the {} community met on sunday", "a {} teacher and a {} doctor", "they described themselves as {}")
+CARRIERS = {
+    "en": ("i am a {} person", "my neighbours are {}", "the {} community met on sunday", "a {} teacher and a {} doctor", "they described themselves as {}"),
+    "de": ("unsere nachbarn sind {}", "die {} trafen sich am sonntag", "viele {} wohnen in der stadt"),
+    "fr": ("nos voisins sont des {}", "les {} se sont réunis dimanche", "beaucoup de {} vivent en ville"),
+    "es": ("nuestros vecinos son {}", "los {} se reunieron el domingo", "muchos {} viven en la ciudad"),
+}
+#: Each name's place among its language's; a name that two languages share is the first one's.
+_PLACE = {t: (terms, i) for terms in reversed(IDENTITY_TERMS.values()) for i, t in enumerate(terms)}
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
-_IDENTITY = re.compile(r"\b(?:" + "|".join(IDENTITY_TERMS) + r")\b")
+_IDENTITY = re.compile(r"\b(?:" + "|".join(sorted(_PLACE, key=len, reverse=True)) + r")\b")
 
 
 def word_features(word: str) -> list[str]:
@@ -72,15 +88,17 @@ def counterfactuals(text: str | None, seed: int = 0) -> Iterator[tuple[set[str],
         return
     for s in _SENTENCE.findall(low):
         for k, m in enumerate(_IDENTITY.finditer(s)):
-            other = IDENTITY_TERMS[(IDENTITY_TERMS.index(m[0]) + 1 + (seed + k) % (len(IDENTITY_TERMS) - 1)) % len(IDENTITY_TERMS)]
+            terms, at = _PLACE[m[0]]
+            other = terms[(at + 1 + (seed + k) % (len(terms) - 1)) % len(terms)]
             yield features_of(s), features_of(s[: m.start()] + other + s[m.end() :])
 
 
 def carrier_pairs() -> Iterator[tuple[set[str], set[str]]]:
-    for c in CARRIERS:
-        for i, t in enumerate(IDENTITY_TERMS):
-            yield features_of(c.replace("{}", t)), features_of(c.replace("{}", IDENTITY_TERMS[(i + 7) % len(IDENTITY_TERMS)]))
-            yield features_of(c.replace("{}", t)), features_of(c.replace("{}", ""))
+    for lang, terms in IDENTITY_TERMS.items():
+        for c in CARRIERS[lang]:
+            for i, t in enumerate(terms):
+                yield features_of(c.replace("{}", t)), features_of(c.replace("{}", terms[(i + 7) % len(terms)]))
+                yield features_of(c.replace("{}", t)), features_of(c.replace("{}", ""))
 
 
 class Sparse:
@@ -122,7 +140,7 @@ def fit_weights(x: Sparse, y: np.ndarray, pairs: Sparse, l1: float = L1, counter
         top = float(np.linalg.norm(u)) or 1.0
         v = u / top
     step = 1.0 / (1.1 * top)
-    w, b = np.zeros(x.n_cols), 0.0
+    w, b = np.zeros(x.n_cols), INTERCEPT
     wp, bp, t = w.copy(), b, 1.0
     for _ in range(steps):
         tn = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -132,22 +150,23 @@ def fit_weights(x: Sparse, y: np.ndarray, pairs: Sparse, l1: float = L1, counter
         wp, bp = w, b
         w = wy - step * g
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        b, t = by - step * gb, tn
+        b, t = min(by - step * gb, INTERCEPT), tn
     return w, b
 
 
 def _sample(docs: DataFrame, labels: DataFrame, eligible: Column) -> DataFrame:
-    """doc_id, text, toxic of a bounded sample of labelled rows."""
+    """doc_id, text, toxic of a bounded sample of labelled documents."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(eligible)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     bounds = ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))
     chosen = [bounded_sample_ids(known.where(F.col("toxic") == v), "doc_id", n) for v, n in bounds]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> dict[str, float]:
-    """Weights by feature; '' is the intercept. eligible: which label rows may be learned from (on doc_id)."""
+def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, counterfactual: float = COUNTERFACTUAL) -> dict[str, float]:
+    """Weights by feature; '' is the intercept. eligible: which label rows may be learned from (on doc_id). counterfactual: weight of the penalty on swaps."""
     spark = docs.sparkSession
     small_batches(spark)
     sample = checkpointed(_sample(docs, labels, F.lit(True) if eligible is None else eligible))
@@ -173,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> d
     z = F.abs(F.log(p1 / p0)) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     top = [r["feature"] for r in counts.orderBy(z.desc(), "feature").limit(MAX_FEATURES).select("feature").collect()]
     swaps = list(carrier_pairs())
-    own = sorted(set(top) | {f for t in IDENTITY_TERMS for f in word_features(t)})
+    own = sorted(set(top) | {f for t in _PLACE for f in word_features(t)})
     index = {f: i for i, f in enumerate(own)}
     sent = spark.sparkContext.broadcast(index)
 
@@ -204,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> d
                 pair_signs[-1].append(sign)
     x = Sparse([np.frombuffer(bytes(r["ix"]), dtype="<i4") for r in got], len(own))
     y = np.array([1.0 if r["toxic"] == 1 else 0.0 for r in got])
-    w, b = fit_weights(x, y, Sparse(pair_rows, len(own), pair_signs))
-    return {f: float(v) for f, v in zip(own, w, strict=True) if v} | {"": min(b, -1.0)}
+    w, b = fit_weights(x, y, Sparse(pair_rows, len(own), pair_signs), counterfactual=counterfactual)
+    return {f: float(v) for f, v in zip(own, w, strict=True) if v} | {"": b}
 
 
 def score_text(text: str | None, model: dict[str, float], cache: dict[str, tuple[str, ...]]) -> float:
