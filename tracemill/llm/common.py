@@ -33,11 +33,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; set an own one only where none is set (tests, local runs)."""
+    """Use the folder named in spark.checkpoint.dir. Only a local session, whose one process sees its own disk, gets a temporary one; a cluster without the setting is refused."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracemill-checkpoint-"))
 
 
@@ -54,3 +56,15 @@ def shuffle_parts(spark: SparkSession) -> int:
 def bounded_sample_ids(ids: DataFrame, id_col: str, limit: int) -> DataFrame:
     """At most `limit` ids, those with the smallest hash: the same ones on every run, whatever the partitioning."""
     return ids.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(limit)
+
+
+def unused(columns: list[str], *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores more as no column (in any case) has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
