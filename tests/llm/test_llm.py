@@ -441,11 +441,33 @@ def test_mixing(spark, monkeypatch):
         own = [r for r in first if r["source"] == s]
         assert all(r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s]) and 0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in own)
         assert abs(sum(r["taken"] for r in own) - target[s]) <= 50
-    taken = rows_of(mixing.repeat_documents(docs.where("doc_id != 5"), mixing.mix_sources(docs.where("doc_id != 5"))))
-    assert len(taken) == sum(r["copies"] for r in rows_of(mixing.mix_sources(docs.where("doc_id != 5"))))
+    taken = rows_of(mixing.repeat_documents(docs, mixing.mix_sources(docs)))
+    assert len(taken) == sum(r["copies"] for r in first)
     assert rows_of(mixing.mix_sources(empty(spark))) == []
 
 
+def test_mixing_spreads_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 20)
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 50)
+    rows = [(None, "w " * (i % 9) + str(i), "a") for i in range(400)] + [(None, "equal words", "a")] * 300 + [(1, "x y", "b")] * 200 + [(i, "z z z", "b") for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = rows_of(mixing.mix_sources(docs))
+    assert len(got) == len(rows)
+    again = rows_of(mixing.mix_sources(docs.repartition(9)))
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 10
+        assert sum(r["size"] for r in own) == own[0]["source_size"]
+    keys = [r["key"] for r in rows_of(mixing._named_rows(spark.createDataFrame([(None, "a", 2, 5, 300), (1, "a", 2, 5, 1)], "doc_id long, source string, size long, text_hash long, n long")))]
+    assert len(set(keys)) == 301
+
+
+def test_the_last_document_is_drawn():
+    ups = [mixing.pivotal_round([7], [3], [0.3], seed, True)[0][0] for seed in range(4000)]
+    assert abs(np.mean(ups) - 0.3) < 0.03
+
+
 def test_repeated_rows_keep_their_copies(spark):
     rng = random.Random(16)
     rows = [(i if i % 3 else None, " ".join([rng.choice(WORDS)] * rng.randint(0, 9)), rng.choice(["a", "b", "c", None]), str(i)) for i in range(600)]
@@ -574,6 +596,20 @@ def test_sharding(spark):
     assert rows_of(sharding.shard_documents(empty(spark))) == []
 
 
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = [(i if i % 3 else None, f"text {i % 40}", i, "own") for i in range(200)] + [(5, "again", 1, "own")] * 4 + [(7, None, 2, "own"), (7, "", 3, "own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot long, shard string").repartition(3)
+    placed = sharding.shard_documents(docs, 6)
+    sharding.write_shards(docs, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    got = rows_of(back)
+    assert sorted((repr(r["doc_id"]), repr(r["text"]), r["slot"], r["shard"]) for r in got) == sorted((repr(d), repr(t), n, s) for d, t, n, s in rows)
+    per = {}
+    for r in rows_of(placed):
+        per[r["shard"]] = per.get(r["shard"], 0) + 1
+    assert {r["shard_"]: r["n"] for r in rows_of(back.groupBy("shard_").agg(sharding.F.count("*").alias("n")))} == per
+
+
 # 10 secrets
 
 

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import checkpointed, shuffle_parts
+from tracemill.llm.common import checkpointed, shuffle_parts, unused
 
 #: Bytes that a row costs besides its text.
 ROW_OVERHEAD = 8
@@ -73,10 +73,22 @@ def prefix_shards(sized: DataFrame, n_shards: int) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("row") - first).alias("slot"))
 
 
-def write_shards(docs: DataFrame, assignment: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the documents as one folder per shard, in slot order within each file."""
-    placed = docs.join(assignment.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(docs: DataFrame, assignment: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the documents as one folder per shard, files in slot order.
+
+    Rows without an id and rows that repeat one are matched by size and checksum too; equal ones are numbered on
+    both sides and matched one to one. Shards are cut into as many files as there are shuffle partitions for them.
+    """
+    own = list(docs.columns)
+    shard, slot, i, size, crc, no, j, size_, crc_, no_ = unused(own, "shard", "slot", "_i", "_size", "_crc", "_no", "_j", "_size2", "_crc2", "_no2")
+    raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    left = docs.withColumn(i, F.col(id_col).cast("long")).withColumn(size, (F.octet_length(raw) + ROW_OVERHEAD).cast("long")).withColumn(crc, F.crc32(raw).cast("long"))
+    left = left.withColumn(no, F.row_number().over(Window.partitionBy(i, size, crc).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in own]))))
+    right = assignment.select(F.col("doc_id").alias(j), F.col("size").alias(size_), F.col("text_crc32").alias(crc_), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    right = right.withColumn(no_, F.row_number().over(Window.partitionBy(j, size_, crc_).orderBy(shard, slot)))
+    placed = left.join(right, left[i].eqNullSafe(right[j]) & (left[size] == right[size_]) & (left[crc] == right[crc_]) & (left[no] == right[no_]))
+    placed = placed.select(*[F.col(f"`{c}`") for c in own], shard, slot)
+    placed.repartitionByRange(max(1, shuffle_parts(docs.sparkSession)), shard, slot).sortWithinPartitions(shard, slot).drop(slot).write.partitionBy(shard).mode("overwrite").parquet(path)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
