@@ -3,10 +3,13 @@
 Three base patterns find key assignments, access keys and long hexadecimal runs.
 Beside them each text is lexed as source or configuration syntax into
 name-literal pairs (`name = "x"`, `name: x`, `"name": "x"`, `export NAME=x`,
-`<name>x</name>`, command-line `--name x`), constants are propagated (`a = "x"`,
-`secret = a`, `secret = a + "y"`), and every literal is scored by how sensitive
-its target's name is and by how random it looks. Literals that reach the
-threshold become spans of the kind `lexed`; base spans always stay.
+`<name>x</name>`, command-line `--name x`, YAML blocks `name: |`, strings in
+three quotes or back quotes over several lines, a quoted value in the line after
+its name), constants are propagated (`a = "x"`, `secret = a`, `secret = a + "y"`),
+and every literal is scored by how sensitive its target's name is and by how
+random it looks; a literal of several lines is scored line by line. Literals that
+reach the threshold become spans of the kind `lexed`; base spans always stay.
+Comments are lexed like code: a secret in one is a secret.
 
 Defined results: null text is empty and has no span; offsets are code points,
 ends exclusive; equal rows have equal results; texts of any length are scanned
@@ -45,23 +48,31 @@ THRESHOLD = 4.0
 NAME_LEAST = 1.5
 _BY_VALUE = sorted(NAME_PARTS.items(), key=lambda x: -x[1])
 MIN_LITERAL = 8
-#: Values that stand for a secret that is kept elsewhere.
-PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{?.*|%.*%|\{\{.*|(?:your|my|the|some|change|replace|insert|enter)[-_ ]?.*|.*(?:example|placeholder|redacted|changeme|dummy|sample).*|none|null|true|false|undefined|todo|test)$")
+#: Values that stand for a secret that is kept elsewhere: signs, variables, and phrases made of words only.
+PLACEHOLDER = re.compile(
+    r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\$\(.*\)|\$[A-Z_]+|%[A-Z_]+%|\{\{.*\}\}|(?:your|my|the|some|change|replace|insert|enter)(?:[-_ ]+[a-z]+)+"
+    r"|(?:.*[^a-z])?(?:example|placeholder|redacted|changeme|dummy|sample)(?:[^a-z].*)?|none|null|true|false|undefined|todo|test)$"
+)
 
 _LEX = re.compile(
     r"""
     (?P<name>(?:(?<![\w.$-])["'](?P<qname>[A-Za-z_][\w.-]*)["']|(?<![\w.$-])--?(?P<flag>[A-Za-z][\w-]*)(?=[=\x20])|(?<![\w.$-])(?P<ident>[A-Za-z_$][\w.$-]*)))
-    [\x20\t]*(?P<op>:=|=>|==?|:(?!//))?[\x20\t]*
-    (?=["'`A-Za-z_$0-9+/])
+    [\x20\t]*(?P<op>:=|=>|==?|:(?!//))?[\x20\t]*(?(op)(?:\\?\r?\n[\x20\t]*(?=["'`]))?)
+    (?=["'`A-Za-z_$0-9+/|>])
     """,
     re.X | re.A,
 )
-_STRING = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
+_STRING = re.compile(r"\"\"\"((?s:.)*?)\"\"\"|'''((?s:.)*?)'''|\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`")
+#: A block of YAML: its mark, then the lines that are indented more than the line of its name.
+_BLOCK = re.compile(r"[|>][-+0-9]*[\x20\t]*\r?\n")
+_LINE = re.compile(r"[^\r\n]+")
+_PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#%^&*-]+")
 _IDENT = re.compile(r"[A-Za-z_$][\w.$]*", re.A)
 _ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]*+)>(?P<value>[^<>\n]++)</(?P=name)>", re.A)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[_.\-$]+")
 
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the base patterns, leftmost and not overlapping within a kind."""
     out: list[tuple[int, int, str]] = []
@@ -117,6 +128,28 @@ class _Constant:
                 left += c.parts
 
 
+def _literal(text: str, start: int, end: int) -> _Constant:
+    """A literal; one of several lines stands for its lines, without the space around them."""
+    if "\n" not in (value := text[start:end]):
+        return _Constant((start, end, value))
+    lines = ((start + m.start() + len(m[0]) - len(m[0].lstrip()), m[0].strip()) for m in _LINE.finditer(value))
+    return _Constant(None, [_Constant((at, at + len(line), line)) for at, line in lines if line])
+
+
+def _block_end(text: str, name_at: int, at: int) -> int:
+    """The end of the block that begins at a line's start: its lines are blank or indented more than the name's line."""
+    begin = text.rfind("\n", 0, name_at) + 1
+    indent = len(text[begin:name_at]) - len(text[begin:name_at].lstrip("\x20\t"))
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end + 1
+        line = text[at:end]
+        if line.strip() and len(line) - len(line.lstrip("\x20\t")) <= indent:
+            break
+        at = end
+    return at
+
+
 def lex_pairs(text: str) -> Iterator[tuple[str, int, int, str]]:
     """(name, start, end, value) of every literal that is assigned to a name, constants propagated.
 
@@ -137,8 +170,12 @@ def lex_pairs(text: str) -> Iterator[tuple[str, int, int, str]]:
         while True:  # operands joined by +
             if (s := _STRING.match(text, pos)) is not None:
                 i = s.lastindex or 1
-                parts.append(_Constant((s.start(i), s.end(i), s[i])))
+                parts.append(_literal(text, s.start(i), s.end(i)))
                 literal, pos = True, s.end()
+            elif not parts and m["op"] == ":" and (block := _BLOCK.match(text, pos)) is not None:
+                pos = _block_end(text, m.start(), block.end())
+                parts.append(_literal(text, block.end(), pos))
+                break
             elif not literal and not parts and (b := _BARE.match(text, pos)) is not None:
                 word = _IDENT.match(text, pos)
                 if word is not None and word[0] in known and (word.end() == b.end() or text[word.end() : word.end() + 1] in "+;,)"):
@@ -153,7 +190,7 @@ def lex_pairs(text: str) -> Iterator[tuple[str, int, int, str]]:
                 pos = word.end()
             else:
                 break
-            plus = re.compile(r"[\x20\t]*\+[\x20\t]*").match(text, pos)
+            plus = _PLUS.match(text, pos)
             if plus is None:
                 break
             pos = plus.end()
