@@ -381,7 +381,7 @@ def py_chains(text):
 
 
 def test_fingerprints(spark):
-    texts = [t for t in odd_texts() if t is None or "ſ" not in t]
+    texts = odd_texts()
     docs = docs_of(spark, texts)
     got = {r["doc_id"]: r for r in rows_of(fingerprints.likeness_report(docs))}
     n = len(texts)
@@ -401,6 +401,17 @@ def test_fingerprints(spark):
     assert one[0]["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("ids", [lambda i: None, lambda i: None if i % 2 else i, lambda i: 5 if i % 3 else i, lambda i: -(2**63) if i % 5 else 2**63 - 1 - i])
+def test_next_document_of_repeated_and_null_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 300)
+    docs = spark.createDataFrame([(ids(i), f"text {i} of the river {i % 7}", "x") for i in range(120)], "doc_id long, text string, _o string").repartition(3)
+    want = rows_of(docs.select("doc_id", "text", fingerprints.F.xxhash64("text").alias("h")))
+    want.sort(key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -(2**63)), r["h"]))
+    after = {r["text"]: want[(i + 1) % len(want)]["text"] for i, r in enumerate(want)}
+    got = rows_of(fingerprints.with_next(fingerprints.fingerprints(docs)))
+    assert {r["text"]: r["next_text"] for r in got} == after and len(got) == len(want)
+
+
 def test_fingerprint_pairs(spark):
     texts = near_texts(3, 12, 6, vocabulary=40)
     texts = [re.sub(r"w(\d+)", lambda m: WORDS[int(m[1]) % len(WORDS)] + m[1] * (int(m[1]) % 3 > 0) or "the", t) for t in texts]

@@ -15,7 +15,8 @@ that are long are cut into bounded blocks.
 Defined results: null text is empty; an empty text has the signature of an
 empty chain; equal texts have equal fingerprints; rows that share an id are
 ordered by their text's hash; a null id sorts last in descending order; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. Rows equal in id and text lie in
+one range, however many they are.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ ANCHORS = (
 CHAIN = 2
 _LOWEST = -(2**63)
 _CUTS = 512
+#: Texts that one range of ids holds, about.
+RANGE_BYTES = 128 * 2**20
 
 
 def _anchor_pattern() -> str:
@@ -112,31 +115,37 @@ def _bucket(order: Column, cuts: list[int], parts: int) -> Column:
 def with_next(signed: DataFrame) -> DataFrame:
     """Add text and signatures of the next row by descending doc_id (after the last: the first).
 
-    Rows are dealt into ranges of ids, about two a shuffle partition; within a range the next row is a window's lead;
-    the last row of a range gets the first of the range below. One shuffle carries the texts.
+    Rows are dealt into ranges of ids, two a shuffle partition or one for RANGE_BYTES of text, whichever are more; an
+    id that fills ranges alone (rows without an id, for one) is cut by its texts' hashes. Within a range the next row
+    is a window's lead; the last row of a range gets the first of the range below. One shuffle carries the texts.
     """
     spark = signed.sparkSession
     order = F.coalesce(F.col("doc_id"), F.lit(_LOWEST))
-    ids = signed.select(order.alias("o"))
-    n_buckets = 2 * max(1, shuffle_parts(spark))
+    size = signed.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("b")).collect()[0]["b"]
+    n_parts = max(1, shuffle_parts(spark), math.ceil(size / (2 * RANGE_BYTES)))
+    n_buckets = 2 * n_parts
     n_cuts = min(_CUTS, n_buckets)
-    found = ids.agg(F.percentile_approx("o", [i / n_cuts for i in range(n_cuts)], 20_000).alias("c")).collect()[0]["c"]
-    cuts = sorted(set(found or []))
-    bucket = _bucket(F.col("_o"), cuts, math.ceil(n_buckets / n_cuts))
-    rows = signed.withColumn("_o", order).withColumn("_b", bucket)
-    # The first row of each range; there are as many as ranges, which the number of partitions bounds.
-    firsts = rows.groupBy("_b").agg(F.max("_o").alias("_o")).collect()
+    found = signed.select(order.alias("o")).agg(F.percentile_approx("o", [i / n_cuts for i in range(n_cuts)], 20_000).alias("c")).collect()[0]["c"] or []
+    cuts, parts = sorted(set(found)), math.ceil(n_buckets / n_cuts)
+    # An id that several cuts fall on is a range's lowest. Its rows follow the range's others, in order of their hashes.
+    hot = {c: found.count(c) * parts for c in cuts if found.count(c) > 1}
+    most, tie = max(hot.values(), default=0), F.col("_t")
+    at = F.floor((tie.cast("double") / float(2**64) + 0.5) * most).cast("long")
+    under = F.when(F.col("_o").isin(list(hot)), F.least(F.lit(most - 1), F.greatest(F.lit(0), at))).otherwise(F.lit(-1)) if hot else F.lit(-1)
+    bucket = (_bucket(F.col("_o"), cuts, parts) * (most + 1) + (F.lit(most - 1) - under)).cast("long")
+    rows = signed.withColumn("_o", order).withColumn("_t", F.xxhash64("text")).withColumn("_b", bucket)
+    # The first row of each range; there are as many as ranges, which the size of the texts bounds.
+    firsts = rows.groupBy("_b").agg(F.min(F.struct(F.bitwise_not("_o").alias("o"), F.col("_t").alias("t"))).alias("f")).collect()
     down = sorted((r["_b"] for r in firsts), reverse=True)
     if not down:
         return signed.withColumn("next_text", F.lit("")).withColumn("next_signatures", F.col("signatures"))
     below = spark.createDataFrame([(b, down[(i + 1) % len(down)]) for i, b in enumerate(down)], "_b long, _under long")
-    first_ids = F.broadcast(spark.createDataFrame([(r["_o"],) for r in firsts], "_o long"))
-    tie = F.xxhash64("text")
+    first_ids = F.broadcast(spark.createDataFrame([(r["_b"], ~r["f"]["o"], r["f"]["t"]) for r in firsts], "_b long, _o long, _t long"))
     # Their signatures are made after they are chosen, not for all rows once more.
-    heads = with_signatures(rows.select("_o", "_b", "text").join(first_ids, "_o", "left_semi"), "text", "signatures").groupBy(F.col("_b").alias("_under")).agg(F.min_by(F.struct("text", "signatures"), F.struct(-F.col("_o"), tie)).alias("_head"))
+    heads = with_signatures(rows.select("_o", "_t", "_b", "text").join(first_ids, ["_b", "_o", "_t"], "left_semi").dropDuplicates(["_b"]), "text", "signatures").select(F.col("_b").alias("_under"), F.struct("text", "signatures").alias("_head"))
     heads = below.join(heads, "_under").select(F.col("_b").alias("_hb"), "_head")
     w = Window.partitionBy("_b").orderBy(F.col("_o").desc(), tie)
-    led = rows.withColumn("_next", F.lead(F.struct("text", "signatures")).over(w))
+    led = rows.repartition(n_parts, "_b").withColumn("_next", F.lead(F.struct("text", "signatures")).over(w))
     joined = led.join(heads, led["_b"] == heads["_hb"], "left")
     after = F.coalesce(F.col("_next"), F.col("_head"))
     return joined.select("doc_id", "text", "signatures", after["text"].alias("next_text"), after["signatures"].alias("next_signatures"))
