@@ -558,6 +558,32 @@ def test_ann(spark):
     assert rows_of(ann.nearest(few.limit(0), F.col("vec_id") == 0)) == []
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_ann_recall_on_the_test_data(spark, monkeypatch, sf):
+    import os
+
+    sf_dir = f"/root/testdata/sf{sf}"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test data")
+    monkeypatch.setattr(ann, "QUERY_ROWS", 100)  # several blocks of queries
+    rows = [(r["vec_id"], r["embedding"]) for r in rows_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))]
+    rows = sorted((i, np.array(v, dtype=float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, dtype=float)).all() and any(v))
+    ids, x = np.array([i for i, _ in rows]), ann.unit(np.stack([v for _, v in rows]))
+    want = []
+    for q in np.flatnonzero(ids % 50 == 0):
+        cos = x @ x[q]
+        cos[q] = -2
+        want += [(int(ids[q]), int(ids[j])) for j in np.lexsort((ids, -np.round(cos, 12)))[:5]]
+    found = queries.op8_ann(spark, sf_dir)
+    assert ann.recall(found, spark.createDataFrame(want, "query_id long, vec_id long")) >= 0.99
+
+
+def test_packed_codes():
+    codes = np.random.default_rng(1).integers(0, 16, (50, 7), dtype=np.uint8)
+    packed = ann.pack(codes)
+    assert all(len(p) == 4 for p in packed) and (ann.unpack(packed, 7) == codes).all()
+
+
 @pytest.mark.parametrize("n", [1024, 16_384])
 def test_ann_finds_all_neighbours_among_near_copies(n):
     rng = np.random.default_rng(11)

@@ -5,7 +5,7 @@ Vectors are brought to length one and cut into subspaces of two dimensions with
 sample (SAMPLE_ROWS rows) by alternating minimisation of the anisotropic loss:
 the part of the residual that is parallel to the vector, which is what changes
 large inner products, weighs ETA times the part across it. Every row is encoded
-the same way, by coordinate descent.
+the same way, by coordinate descent, once, and its codes travel packed, two a byte.
 
 The search scans four-bit tables: rows lie in blocks of at most BLOCK_ROWS, the
 queries in blocks of at most QUERY_ROWS, and each pair of blocks is one bounded
@@ -26,18 +26,20 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import bounded_sample_ids, checkpointed
+from tracemill.llm.common import bounded_sample_ids, checkpointed, small_batches
 
 SAMPLE_ROWS = 8_000
 #: A block has n / 256 rows within these bounds.
 LEAST_ROWS, BLOCK_ROWS = 1_024, 16_384
-QUERY_ROWS = 2_048
+#: Queries that meet a block at once; rows are sent once for each so many queries.
+QUERY_ROWS = 8_192
 SUB, CODES = 2, 16
 ETA = 4.0
 RERANK = 64
@@ -81,6 +83,17 @@ def encode(x: np.ndarray, books: np.ndarray, rounds: int = 3, eta: float = ETA)
     return codes
 
 
+def pack(codes: np.ndarray) -> list[bytes]:
+    """Four bits a code, two codes a byte."""
+    even = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+    return [r.tobytes() for r in even[:, ::2] | (even[:, 1::2] << 4)]
+
+
+def unpack(packed: list[bytes], m: int) -> np.ndarray:
+    two = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1)
+    return np.stack((two & 15, two >> 4), axis=2).reshape(len(packed), -1)[:, :m]
+
+
 def fit_codebooks(x: np.ndarray, rounds: int = 8, eta: float = ETA) -> np.ndarray:
     """(subspaces, CODES, SUB) codewords for unit rows."""
     xs = _cut(x)
@@ -153,10 +166,11 @@ def _most(approx: np.ndarray, length: np.ndarray, along: np.ndarray, across: np.
     return np.where(known, c * along + np.sqrt(1.0 - c * c) * across, 1.0) + MARGIN
 
 
-def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, books: np.ndarray, k: int, rerank: int = RERANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, row ids, cosines): for each query the best k of a block's rows, which must be sorted by id."""
+def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, books: np.ndarray, k: int, rerank: int = RERANK, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, row ids, cosines): for each query the best k of a block's rows, which must be sorted by id. codes: of the rows, if they are known."""
     qn, xn = unit(q), unit(x)
-    codes = np.concatenate([encode(xn[at : at + 2048], books) for at in range(0, len(xn), 2048)])
+    if codes is None:
+        codes = np.concatenate([encode(xn[at : at + 2048], books) for at in range(0, len(xn), 2048)])
     # Padding of an odd dimension is zero in the query, so the decoded vector's last number there plays no part.
     length, along, across = _angles(xn, codes, books)
     # A sum of m single-precision products of two vectors is off by m + 2 roundings of the product of their lengths at most.
@@ -227,17 +241,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     slot = F.xxhash64("vec_id")
     block, q_block = F.pmod(slot, F.lit(n_blocks)).cast("int"), F.pmod(F.shiftright(slot, 20), F.lit(q_blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    rows = valid.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), block.alias("b"), "vec_id", "v", F.lit(False).alias("asks"))
-    asking = valid.where(is_query).select(q_block.alias("qb"), F.explode(every).alias("b"), "vec_id", "v", F.lit(True).alias("asks"))
+    m = math.ceil(dim / SUB)
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 2048):
+                part = pdf.iloc[at : at + 2048]
+                x = unit(np.stack(part["v"].to_numpy()).astype(float))
+                yield part.assign(code=pack(encode(x, books.value)))
+
+    small_batches(spark)
+    coded = valid.mapInPandas(code, "vec_id long, v array<double>, code binary")
+    rows = coded.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), block.alias("b"), "vec_id", "v", "code")
+    asking = valid.where(is_query).select(q_block.alias("qb"), F.explode(every).alias("b"), "vec_id", "v", F.lit(None).cast("binary").alias("code"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable", ignore_index=True)
-        asks = pdf["asks"].to_numpy(bool)
+        asks = pdf["code"].isna().to_numpy()
         if not asks.any() or asks.all():
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         x, ids = np.stack(pdf["v"].to_numpy()).astype(float), pdf["vec_id"].to_numpy(np.int64)
         own, first = np.unique(ids[asks], return_index=True)  # rows that repeat a query's id ask once
-        q, i, s = search_block(own, x[asks][first], ids[~asks], x[~asks], books.value, k, rerank)
+        q, i, s = search_block(own, x[asks][first], ids[~asks], x[~asks], books.value, k, rerank, unpack(pdf["code"][~asks].tolist(), m))
         return pd.DataFrame({"query_id": q, "vec_id": i, "score": s})
 
     found = rows.unionByName(asking).groupBy("qb", "b").applyInPandas(run, schema)
