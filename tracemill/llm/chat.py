@@ -176,8 +176,14 @@ def parse_window(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read from the windows. They must come as format_conversations lays them."""
+def read_back(windows: DataFrame, laid: bool = False) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, all read from the windows.
+
+    laid: the windows come straight from format_conversations, a conversation's in order in one partition; others
+    (read from files, filtered, joined) are shuffled by conversation and sorted first.
+    """
+    if not laid:
+        windows = windows.repartition(max(1, shuffle_parts(windows.sparkSession)), "conv_id").sortWithinPartitions("conv_id", "window")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows = None, []
