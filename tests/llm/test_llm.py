@@ -301,19 +301,54 @@ def test_near_duplicates_equal_brute_force(spark, words):
     assert sorted(r["doc_id"] for r in left) == sorted({c for _, c in want.values()})
 
 
-@pytest.mark.parametrize("dense", [0, 10, 1000])
-def test_near_duplicates_in_blocks(spark, monkeypatch, dense):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "DENSE", dense)
+@pytest.mark.parametrize(("dense", "rounds", "copies"), [(0, 0, 0), (0, 1, 0), (0, 2, 1000), (10, 5, 2), (1000, 1, 0)])
+def test_near_duplicates_in_blocks(spark, monkeypatch, dense, rounds, copies):
+    for name, value in (("BLOCK", 8), ("DENSE", dense), ("ROUNDS", rounds), ("COPIES", copies)):
+        monkeypatch.setattr(near_dedup, name, value)
     texts = near_texts(9, 3, 60)
     want = brute_components(list(enumerate(texts)), 4, 80)
-    need, docs = near_dedup.match_threshold(0.8), docs_of(spark, texts)
-    base = near_dedup.signatures(docs, 4).where("n_shingles > 0").selectExpr("doc_id AS rep", "n_shingles AS n", "sig")
-    left = near_dedup.survivors_of(base, need)
-    found = near_dedup.candidates(near_dedup.posts_of(left, need, False), need, 80)
-    links = near_dedup.confirm(found, near_dedup.posts_of(left, need, True), docs, need, 4, 80)
-    roots = {r["node"]: r["root"] for r in rows_of(near_dedup.components(links))}
-    assert {d: roots.get(d, d) for d in range(len(texts))} == {d: c for d, (_, c) in want.items()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(near_dedup.near_duplicates(docs_of(spark, texts), 4))}
+    assert got == want and len({c for _, c in want.values()}) > 3
+
+
+def test_near_duplicates_need_every_collision(spark):
+    rng = random.Random(17)
+    texts = []
+    for _ in range(40):  # pairs of texts just at the threshold: 8 of 10 shingles in common
+        base = [f"w{rng.randrange(10**6)}" for _ in range(12)]
+        texts += [" ".join(base), " ".join([*base[:-1], "x"])]
+    want = brute_components(list(enumerate(texts)), 4, 80)
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(near_dedup.near_duplicates(docs_of(spark, texts), 4, need=1))}
+    assert got == {d: c for d, (_, c) in want.items()} and any(d != c for d, c in got.items())
+
+
+def test_chance_equalities_lose_no_pair():
+    """Values that agree in their lower bits, and empty places that agree, are no collisions."""
+    n = near_dedup.COORDINATES
+    v = np.arange(2 * n, dtype=np.uint32).reshape(2, n) << 16
+    v[1, 14:] = v[0, 14:]  # 50 true collisions; the other coordinates agree in 16 bits
+    rank = np.tile(np.arange(n, dtype=np.uint8), (2, 1))
+    rank[:, :3], v[:, :3] = near_dedup.GONE, 0
+    at = [np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)]
+    hits = near_dedup._collide(v, rank, np.array([14, 14]), np.array([100, 100]), *at, 34, 80)
+    assert hits.tolist() == [50]
+
+
+def test_no_list_writes_out_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(18)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(400):
+        own = list(base)
+        own[rng.randrange(120)] = f"x{i}"
+        texts.append(" ".join(own))
+    sizes = []
+    plain = near_dedup.tile_links
+    monkeypatch.setattr(near_dedup, "tile_links", lambda dense, apart, *a: sizes.append((dense.count(), apart.count())) or plain(dense, apart, *a))
+    got = rows_of(near_dedup.near_duplicates(docs_of(spark, texts), 4))
+    assert {r["component_id"] for r in got} == {0}
+    assert all(apart < dense / 4 for dense, apart in sizes)
 
 
 def test_near_duplicates_odd_rows(spark):
@@ -337,6 +372,17 @@ def test_near_duplicates_of_repeated_rows(spark, monkeypatch, dense):
     assert near_dedup.near_duplicates(docs, 4).count() == len(rows)
 
 
+def test_documents_without_ids_are_dropped_by_their_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (None, base), (None, base + " x"), (2, "other words of a clean text"), (None, "alone one two three four five")] + [(None, "many " * 9)] * 5 + [(None, None), (None, ""), (3, ""), (4, None), (5, "")]
+    rows += [(2, "a second text of the id two"), (2, "other words of a clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS _name", "'g' AS _gone", "2 AS _least", "3 AS _TWICE", "4 AS n_shingles", "5 AS kept")
+    got = rows_of(near_dedup.drop_near_duplicates(docs))
+    assert list(got[0]) == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "")) for r in got if r["doc_id"] != 2) == sorted([(1, base), (0, "alone one two three four five"), (0, "many " * 9), (0, ""), (0, ""), (3, ""), (4, ""), (5, "")])
+    assert sum(r["doc_id"] == 2 for r in got) == 1
+
+
 def test_match_threshold():
     t = near_dedup.match_threshold(0.8, 64, 1e-6)
     assert sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(t)) <= 1e-6

@@ -6,18 +6,21 @@
 2. Representatives are posted under each (coordinate, value). Values that only
    one representative has cannot collide and go at once. A pair must collide in
    at least `match_threshold` coordinates (a link at the similarity threshold
-   has fewer in one of a million cases), so who has fewer values left goes too,
-   and of each representative's values the match_threshold - 1 most frequent
-   are skipped: what is left is its prefix, the rarest ones, and any pair that
-   collides often enough shares the rarest common value in both prefixes.
-3. Each list is cut into blocks of at most BLOCK rows; a pair of blocks is one
-   bounded task. A pair is counted, on all coordinates, in the list of its
-   rarest common value only, and kept if it reaches the match threshold.
-4. Candidates are confirmed on the full sets. Within a block, candidates that
-   are already connected by confirmed links are skipped: this loses no
-   component and leaves at most one link a row. Lists of more than DENSE rows
-   (large groups of near copies) are counted where they are confirmed, so that
-   their pairs are never written out.
+   has fewer in one of a million cases; need=1 keeps every pair that collides at
+   all), so who has fewer values left goes too, and of each representative's
+   values the match_threshold - 1 most frequent are skipped: what is left is its
+   prefix, the rarest ones, and any pair that collides often enough shares the
+   rarest common value in both prefixes.
+3. In lists of up to DENSE rows a pair is counted, on all coordinates and whole
+   values, in the list of its rarest common value only, and kept if it reaches
+   the match threshold. Candidates are confirmed on the full sets; those that
+   confirmed links of their list connect already are skipped.
+4. Longer lists (large groups of near copies) never write out their pairs. A few
+   of a list's rows, its pivots, are compared with all of its rows; links make
+   components. A list whose rows are in one component is done. In the others the
+   rows outside the largest component, which more rounds of pivots make few, meet
+   all rows in tiles of at most BLOCK by BLOCK rows, where pairs of one component
+   are skipped. This loses no component.
 5. Components by alternating large-star and small-star steps.
 
 Defined results: texts without words, empty and null ones have the empty set
@@ -36,20 +39,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import checkpointed, shuffle_parts, small_batches
+from tracemill.llm.common import WORD, checkpointed, shuffle_parts, small_batches, unused
 
 COORDINATES = 64
 #: Share of links at the threshold that the count may miss.
 MISS = 1e-6
-#: Rows of a list that meet in one task are at most twice this.
+#: Rows of a long list that meet in one tile are twice this, on average.
 BLOCK = 512
-#: Rows of a list from which its pairs are counted and confirmed in one task.
+#: Rows of a list from which it counts as long.
 DENSE = 64
+#: Pivots of a long list in a round, and rounds at most: another one is made while tiles would copy each row more than COPIES times.
+PIVOTS, ROUNDS, COPIES = 3, 5, 2
 #: Ids are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rank of a coordinate whose value no other representative has.
+GONE = 255
 #: Words whose hash a worker keeps.
 CACHE_WORDS = 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -135,41 +142,31 @@ def survivors_of(reps: DataFrame, need: int) -> DataFrame:
     return tokens.join(counts, "token").groupBy(*names).agg(F.collect_list(F.struct("df", "token")).alias("have")).where(F.size("have") >= need)
 
 
-_POSTS = ("token", "bi", "bj", "own", "coord", "rep", "h1", "n", "vec")
+_POST = "token long, df long, coord int, rep long, h1 long, n long, vec binary"
 
 
 def posts_of(survivors: DataFrame, need: int, dense: bool) -> DataFrame:
-    """Postings of the prefixes in dense lists or in the others: token, bi, bj (pair of blocks), own (the row's block), coord, rep, h1 (of the set, if survivors have it), n, vec."""
-    limit, block = DENSE, BLOCK
+    """Postings of the prefixes in long lists or in the others: token, df (the list's rows), coord, rep, h1, n, vec (values and ranks by coordinate)."""
+    limit = DENSE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: dict[str, list] = {k: [] for k in _POSTS}
+            out: list[tuple] = []
             for rep, h1, n, have in zip(pdf["rep"], pdf["h1"], pdf["n"], pdf["have"], strict=True):
                 have = sorted((int(x["df"]), int(x["token"])) for x in have)
                 prefix = [x for x in have[: len(have) - need + 1] if (x[0] > limit) == dense]
                 if not prefix:
                     continue
-                # Coordinates that are gone get a value of their own row's, which collides with none but by chance.
-                name = int(rep).to_bytes(8, "little", signed=True)
-                v = np.frombuffer(xxhash.xxh64_digest(name) * (COORDINATES // 4), dtype="<u2").copy()
-                v ^= np.arange(COORDINATES, dtype=np.uint16) * np.uint16(0x9E37)
-                rank = np.full(COORDINATES, 255, dtype=np.uint8)
+                v = np.zeros(COORDINATES, dtype="<u4")
+                rank = np.full(COORDINATES, GONE, dtype=np.uint8)  # coordinates that are gone collide with none
                 for r, (_, token) in enumerate(have):
-                    v[token >> 32] = (token ^ (token >> 16)) & 0xFFFF
+                    v[token >> 32] = token & 0xFFFFFFFF
                     rank[token >> 32] = r
-                vec = v.astype("<u2").tobytes() + rank.tobytes()
-                for df, token in prefix:
-                    blocks = -(-df // block)
-                    own = xxhash.xxh32_intdigest(name, 7) % blocks
-                    for other in range(blocks):
-                        for k, x in zip(_POSTS, (token, min(own, other), max(own, other), own, token >> 32, rep, h1, n, vec), strict=True):
-                            out[k].append(x)
-            yield pd.DataFrame(out).astype({"h1": "Int64"})
+                vec = v.tobytes() + rank.tobytes()
+                out += [(token, df, token >> 32, rep, h1, n, vec) for df, token in prefix]
+            yield pd.DataFrame(out, columns=["token", "df", "coord", "rep", "h1", "n", "vec"])
 
-    if "h1" not in survivors.columns:
-        survivors = survivors.withColumn("h1", F.lit(None).cast("long"))
-    return survivors.mapInPandas(run, "token long, bi int, bj int, own int, coord int, rep long, h1 long, n long, vec binary")
+    return survivors.select("rep", "h1", "n", "have").mapInPandas(run, _POST)
 
 
 class _Groups:
@@ -210,46 +207,35 @@ class _Groups:
 def _collide(v: np.ndarray, rank: np.ndarray, coord: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, need: int, percent: int) -> np.ndarray:
     """Collisions of the pairs (a, b) that reach `need`, are counted in this list, and whose set sizes allow a link; else 0."""
     out = np.zeros(len(a), dtype=np.int16)
+    real = rank != GONE
     fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
     some = np.flatnonzero(fits)
     for at in range(0, len(some), 8192):
         i = some[at : at + 8192]
         x, y = a[i], b[i]
-        same = v[x] == v[y]
+        same = (v[x] == v[y]) & real[x] & real[y]
         hits = same.sum(axis=1)
-        first = np.where(same, rank[x], 255).min(axis=1)  # the rarest common value
+        first = np.where(same, rank[x], GONE).min(axis=1)  # the rarest common value
         out[i] = np.where((hits >= need) & (first == rank[x, coord[x]]), hits, 0)
     return out
 
 
-def _vectors(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    """Values, ranks, coordinates, set sizes, names and blocks of posted rows."""
-    vec = np.frombuffer(b"".join(rows["vec"]), dtype=np.uint8).reshape(len(rows), 3 * COORDINATES)
-    v = np.ascontiguousarray(vec[:, : 2 * COORDINATES]).view("<u2")
-    return v, vec[:, 2 * COORDINATES :], rows["coord"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64), rows["own"].to_numpy(np.int64)
-
-
-def _pairs(own: np.ndarray, bi: int, bj: int, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of rows s to e that a pair of blocks is about."""
-    if bi == bj:
-        a, b = np.triu_indices(e - s, 1)
-        return a + s, b + s
-    one, two = s + np.flatnonzero(own[s:e] == bi), s + np.flatnonzero(own[s:e] == bj)
-    return np.repeat(one, len(two)), np.tile(two, len(one))
-
-
-_KEYS = ["token", "bi", "bj"]
+def _vectors(vec: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Values and ranks of posted rows."""
+    rows = np.frombuffer(b"".join(vec), dtype=np.uint8).reshape(len(vec), 5 * COORDINATES)
+    return np.ascontiguousarray(rows[:, : 4 * COORDINATES]).view("<u4"), rows[:, 4 * COORDINATES :]
 
 
 def candidates(posts: DataFrame, need: int, percent: int) -> DataFrame:
-    """token, bi, bj, rep, h1, partners, hits: for each row of a list the rows it collides with often enough; rows that are only partners have none."""
+    """token, rep, h1, partners (place in the list's rows here), hits: for each row of a list the rows it collides with often enough; rows that are only partners have none."""
     parts = max(1, shuffle_parts(posts.sparkSession))
-    laid = posts.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS, "rep")
+    laid = posts.repartition(parts, "token").sortWithinPartitions("token", "rep", "h1")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts in _Groups(batches, _KEYS):
-            v, rank, coord, n, rep, own = _vectors(rows)
-            token, bi, bj = (rows[k].to_numpy() for k in _KEYS)
+        for rows, starts in _Groups(batches, ["token"]):
+            v, rank = _vectors(rows["vec"])
+            token, coord, n, rep = (rows[k].to_numpy(np.int64) for k in ("token", "coord", "n", "rep"))
+            h1 = rows["h1"].to_numpy(np.int64)
             pend_a, pend_b, pending = [], [], 0
 
             def settle() -> pd.DataFrame | None:
@@ -263,14 +249,14 @@ def candidates(posts: DataFrame, need: int, percent: int) -> DataFrame:
                 alone = np.setdiff1d(b, a)
                 first = np.concatenate((a[cuts], alone))
                 none = [np.zeros(0, dtype=np.int64)] * len(alone)
-                return pd.DataFrame({"token": token[first], "bi": bi[first], "bj": bj[first], "rep": rep[first], "h1": rows["h1"].array[first], "partners": [*np.split(rep[b], cuts[1:]), *none], "hits": [*(h.astype(np.int32) for h in np.split(hits, cuts[1:])), *none]})
+                return pd.DataFrame({"token": token[first], "rep": rep[first], "h1": h1[first], "partners": [*np.split(rep[b], cuts[1:]), *none], "partner_sets": [*np.split(h1[b], cuts[1:]), *none], "hits": [*(h.astype(np.int32) for h in np.split(hits, cuts[1:])), *none]})
 
             for g in range(len(starts) - 1):
                 s, e = starts[g], starts[g + 1]
-                a, b = _pairs(own, bi[s], bj[s], s, e)
+                a, b = np.triu_indices(e - s, 1)
                 if len(a):
-                    pend_a.append(a)
-                    pend_b.append(b)
+                    pend_a.append(a + s)
+                    pend_b.append(b + s)
                     pending += len(a)
                 if pending > 200_000:
                     if (got := settle()) is not None:
@@ -279,7 +265,7 @@ def candidates(posts: DataFrame, need: int, percent: int) -> DataFrame:
             if pending and (got := settle()) is not None:
                 yield got
 
-    return laid.mapInPandas(run, "token long, bi int, bj int, rep long, h1 long, partners array<long>, hits array<int>")
+    return laid.mapInPandas(run, "token long, rep long, h1 long, partners array<long>, partner_sets array<long>, hits array<int>")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -294,70 +280,193 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirm(found: DataFrame, dense: DataFrame, docs: DataFrame, need: int, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: confirmed links that connect what all confirmed links connect, block by block. found: candidates; dense: posted rows of dense lists."""
-    spark = found.sparkSession
-    needed = checkpointed(found.select("rep").unionByName(dense.select("rep")).distinct())
+def sets_of(docs: DataFrame, needed: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rep, h1, grams: the sets of the rows whose id is among `needed` (rep); rows that repeat an id and its text have one."""
+    needed = checkpointed(needed.distinct())
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(needed, "rep", "left_semi")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
                 grams = [shingles(t, words).astype("<u8").tobytes() for t in part["text"]]
-                yield pd.DataFrame({"rep": part["rep"], "own_set": [int.from_bytes(xxhash.xxh128_digest(g)[:8], "little", signed=True) for g in grams], "grams": grams})
+                yield pd.DataFrame({"rep": part["rep"], "h1": [int.from_bytes(xxhash.xxh128_digest(g)[:8], "little", signed=True) for g in grams], "grams": grams})
+
+    return checkpointed(texts.mapInPandas(cut, "rep long, h1 long, grams binary").dropDuplicates(["rep", "h1"]))
+
+
+class _Joined:
+    """Components within one task: links are confirmed only between nodes that are still apart."""
+
+    def __init__(self, percent: int):
+        self.percent, self.root, self.links = percent, {}, []
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    def link(self, a: int, b: int, x: int, y: int, own: np.ndarray, other: np.ndarray) -> None:
+        """Documents a and b of the components x and y."""
+        p, q = self.find(x), self.find(y)
+        if p != q and _linked(own, other, self.percent):
+            self.root[max(p, q)] = min(p, q)
+            self.links.append((a, b))
 
-    # Rows that repeat an id and its text have one set.
-    sets = texts.mapInPandas(cut, "rep long, own_set long, grams binary").repartition("rep").dropDuplicates(["rep", "own_set"])
-    members = found.unionByName(dense, allowMissingColumns=True)
-    parts = max(1, shuffle_parts(spark))
-    laid = members.join(sets.withColumnRenamed("rep", "_rep"), (F.col("rep") == F.col("_rep")) & (F.col("h1").isNull() | (F.col("h1") == F.col("own_set")))).drop("_rep", "own_set").repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS)
+
+def confirm(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: confirmed links that connect what all confirmed links of the candidates connect, list by list."""
+    parts = max(1, shuffle_parts(found.sparkSession))
+    laid = found.join(sets, ["rep", "h1"]).repartition(parts, "token").sortWithinPartitions("token")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts in _Groups(batches, _KEYS):
+        for rows, starts in _Groups(batches, ["token"]):
             links = []
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 part = rows.iloc[s:e]
-                named: dict[int, set[bytes]] = {}  # an id's texts are one document: a link of any of its sets is the document's
-                for r, g in zip(part["rep"], part["grams"], strict=True):
-                    if len(g):
-                        named.setdefault(r, set()).add(g)
-                sets_of = {r: [np.frombuffer(g, dtype="<u8") for g in sorted(gs)] for r, gs in named.items()}
-                root = {r: r for r in sets_of}
-
-                def find(x: int) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                def link(pairs: list[tuple[int, int]]) -> None:
-                    for a, b in pairs:
-                        if a in root and b in root and (x := find(a)) != (y := find(b)) and any(_linked(x1, x2, percent) for x1 in sets_of[a] for x2 in sets_of[b]):
-                            root[max(x, y)] = min(x, y)
-                            links.append((a, b))
-
-                if part["vec"].iat[0] is not None:
-                    part = part.drop_duplicates(["rep", "h1", "vec"])
-                    v, rank, coord, n, rep, own = _vectors(part)
-                    a, b = _pairs(own, part["bi"].iat[0], part["bj"].iat[0], 0, len(part))
-                    for at in range(0, len(a), 65_536):
-                        i, j = a[at : at + 65_536], b[at : at + 65_536]
-                        hits = _collide(v, rank, coord, n, i, j, need, percent)
-                        # The likeliest links first: most of the others are then connected already.
-                        order = np.argsort(-hits, kind="stable")[: int((hits > 0).sum())]
-                        link(list(zip(rep[i[order]].tolist(), rep[j[order]].tolist(), strict=True)))
-                else:
-                    pairs = [(-int(h), int(r), int(p)) for r, ps, hs in zip(part["rep"], part["partners"], part["hits"], strict=True) for p, h in zip(ps, hs, strict=True)]
-                    link([(a, b) for _, a, b in sorted(pairs)])
+                own = {(r, h): np.frombuffer(g, dtype="<u8") for r, h, g in zip(part["rep"], part["h1"], part["grams"], strict=True)}
+                pairs = [(-int(hit), int(r), int(h), int(p), int(q)) for r, h, ps, qs, hits in zip(part["rep"], part["h1"], part["partners"], part["partner_sets"], part["hits"], strict=True) for p, q, hit in zip(ps, qs, hits, strict=True)]
+                joined = _Joined(percent)
+                for _, r, h, p, q in sorted(pairs):  # the likeliest first: most of the others are then connected already
+                    joined.link(r, p, r, p, own[r, h], own[p, q])
+                links += joined.links
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
 
     return laid.mapInPandas(run, "a long, b long")
 
 
+def _blocks(rows: str) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK)).cast("int")
+
+
+def _block_of(blocks: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("rep", "h1", F.lit(seed)), blocks.cast("long")).cast("int")
+
+
+def _upto(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), blocks - 1))
+
+
+def pivot_links(dense: DataFrame, pivots: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
+    """a, b: confirmed links of rows with their lists' pivots (token, df, p). A pivot is sent once for every BLOCK rows, so that no task holds a whole list."""
+    p = F.col("p")
+    spread = pivots.select("token", _upto(_blocks("df")).alias("own"), p["rep"].alias("p_rep"), p["h1"].alias("p_h1"), p["n"].alias("p_n"), p["vec"].alias("p_vec"))
+    fits = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
+    met = dense.withColumn("own", _block_of(_blocks("df"), 1)).join(spread, ["token", "own"]).where(((F.col("rep") != F.col("p_rep")) | (F.col("h1") != F.col("p_h1"))) & fits)
+
+    def collide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                (v, rank), (pv, p_rank) = _vectors(pdf["vec"]), _vectors(pdf["p_vec"])
+                hits = ((v == pv) & (rank != GONE) & (p_rank != GONE)).sum(axis=1)
+                yield pdf[["rep", "h1", "p_rep", "p_h1"]][hits >= need].drop_duplicates()
+
+    pairs = met.select("rep", "h1", "p_rep", "p_h1", "vec", "p_vec").mapInPandas(collide, "rep long, h1 long, p_rep long, p_h1 long").distinct()
+    # A pivot's set is sent once for every BLOCK rows of its longest list.
+    most = pivots.groupBy(p["rep"].alias("p_rep"), p["h1"].alias("p_h1")).agg(F.max("df").alias("p_df"))
+    p_sets = sets.select(F.col("rep").alias("p_rep"), F.col("h1").alias("p_h1"), F.col("grams").alias("p_grams")).join(most, ["p_rep", "p_h1"]).select("p_rep", "p_h1", "p_grams", _blocks("p_df").alias("of"))
+    shares = most.select("p_rep", "p_h1", _blocks("p_df").alias("of"))
+    pairs = pairs.join(_small(shares), ["p_rep", "p_h1"]).withColumn("own", _block_of(F.col("of"), 2)).drop("of")
+    p_sets = p_sets.withColumn("own", _upto(F.col("of"))).drop("of")
+    both = pairs.join(sets, ["rep", "h1"]).join(p_sets, ["p_rep", "p_h1", "own"]).select("rep", "p_rep", "grams", "p_grams")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [_linked(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8"), percent) for x, y in zip(pdf["grams"], pdf["p_grams"], strict=True)]
+            out = pdf[["rep", "p_rep"]][np.array(ok, dtype=bool)]
+            yield out.rename(columns={"rep": "a", "p_rep": "b"})
+
+    return both.mapInPandas(check, "a long, b long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Sent to all executors if it has at most BROADCAST_IDS rows, which are narrow."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _apart(names: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """token, rep, h1, df, comp, minor, n_minor: rows of lists that hold several components; minor ones are not in the list's largest."""
+    if roots is None:
+        return names.select("token", "rep", "h1", "df", F.col("rep").alias("comp"), F.lit(True).alias("minor"), F.col("df").alias("n_minor"))
+    known = names.join(roots, names["rep"] == roots["node"], "left").select("token", "rep", "h1", "df", F.coalesce("root", "rep").alias("comp"))
+    sizes = known.groupBy("token", "df", "comp").agg(F.count("*").alias("n"))
+    lists = sizes.groupBy("token", "df").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("n_major"), F.count("*").alias("comps")).where("comps > 1")
+    # Each list's largest component is sent once for every BLOCK of its rows.
+    spread = lists.select("token", _upto(_blocks("df")).alias("own"), "major", (F.col("all") - F.col("n_major")).alias("n_minor"))
+    met = known.withColumn("own", _block_of(_blocks("df"), 1)).join(spread, ["token", "own"])
+    return met.select("token", "rep", "h1", "df", "comp", (F.col("comp") != F.col("major")).alias("minor"), "n_minor")
+
+
+def tile_links(dense: DataFrame, apart: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
+    """a, b: confirmed links between the components of a list. Its minor rows meet all of its rows in tiles."""
+    rows = dense.drop("df").join(apart, ["token", "rep", "h1"])
+    own, minor_own = _block_of(_blocks("df"), 1), _block_of(_blocks("n_minor"), 3)
+    cols = ["token", "coord", "rep", "h1", "n", "vec", "comp", "minor"]
+    asked = rows.select(*cols, own.alias("bj"), _upto(_blocks("n_minor")).alias("bi"), F.lit(False).alias("asks"))
+    asking = rows.where("minor").select(*cols, _upto(_blocks("df")).alias("bj"), minor_own.alias("bi"), F.lit(True).alias("asks"))
+    keys = ["token", "bi", "bj"]
+    parts = max(1, shuffle_parts(dense.sparkSession))
+    laid = asked.unionByName(asking).join(sets, ["rep", "h1"]).repartition(parts, *keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for every, starts in _Groups(batches, keys):
+            links = []
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                part = every.iloc[s:e]
+                v, rank = _vectors(part["vec"])
+                coord, n, rep, h1, comp = (part[k].to_numpy(np.int64) for k in ("coord", "n", "rep", "h1", "comp"))
+                minor, asks, grams = part["minor"].to_numpy(bool), part["asks"].to_numpy(bool), part["grams"].to_numpy()
+                one, two = np.flatnonzero(asks), np.flatnonzero(~asks)
+                joined = _Joined(percent)
+                step = max(1, 65_536 // max(1, len(two)))
+                for at in range(0, len(one), step):
+                    i, j = np.repeat(one[at : at + step], len(two)), np.tile(two, len(one[at : at + step]))
+                    # Two minor rows meet in two tiles; the one whose asking row has the smaller name counts.
+                    once = ~minor[j] | (rep[i] < rep[j]) | ((rep[i] == rep[j]) & (h1[i] < h1[j]))
+                    some = once & (comp[i] != comp[j])
+                    i, j = i[some], j[some]
+                    hits = _collide(v, rank, coord, n, i, j, need, percent)
+                    order = np.argsort(-hits, kind="stable")[: int((hits > 0).sum())]
+                    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                        joined.link(int(rep[x]), int(rep[y]), int(comp[x]), int(comp[y]), np.frombuffer(grams[x], dtype="<u8"), np.frombuffer(grams[y], dtype="<u8"))
+                links += joined.links
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+
+    return laid.mapInPandas(run, "a long, b long")
+
+
+def dense_links(dense: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
+    """a, b: confirmed links that connect what all links within long lists connect."""
+    n_rows = dense.count()
+    links = dense.sparkSession.createDataFrame([], "a long, b long")
+    if not n_rows:
+        return links
+    names = dense.select("token", "rep", "h1", "df")
+    apart, roots = names, None
+    for at in range(ROUNDS):
+        apart = checkpointed(_apart(names, roots))
+        copies = apart.agg(F.sum(_blocks("n_minor") + F.when(F.col("minor"), _blocks("df")).otherwise(0)).alias("n")).collect()[0]["n"]
+        if not copies:
+            return links
+        if roots is not None and copies <= COPIES * n_rows:
+            break
+        named = dense.drop("df").join(apart.where("minor").select("token", "rep", "h1", "df"), ["token", "rep", "h1"]) if roots is not None else dense
+        by = F.xxhash64("rep", "h1")
+        pivots = checkpointed(named.groupBy("token", "df", F.pmod(F.xxhash64("rep", "h1", F.lit(100 + at)), F.lit(PIVOTS))).agg(F.min_by(F.struct("rep", "h1", "n", "vec"), by).alias("p")).select("token", "df", "p"))
+        links = checkpointed(links.unionByName(pivot_links(dense, pivots, sets, need, percent)).distinct())
+        roots = components(links)
+    else:
+        apart = checkpointed(_apart(names, roots))
+    return links.unionByName(tile_links(dense, apart, sets, need, percent))
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that links lead to, for every node that has a link."""
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
@@ -379,18 +488,25 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (whether that is the row's own id)."""
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", need: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable over links), kept (whether that is the row's own id).
+
+    need: collisions that a pair must have (default: match_threshold, which a link has but once in a million); 1 is the
+    exact way, for which all pairs that collide at all are confirmed: a link at the threshold then has none with a
+    probability of (1 - percent / 100) ** 64.
+    """
     if words < 1 or not 0 < percent <= 100:
         raise ValueError("words must be positive and percent in 1..100")
     small_batches(docs.sparkSession)
-    need = match_threshold(percent / 100)
+    need = match_threshold(percent / 100) if need is None else need
     base = checkpointed(signatures(docs, words, id_col, text_col))
     groups = base.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = base.where("n_shingles > 0").join(groups.where("rep IS NOT NULL").select("h1", "h2", "rep"), ["h1", "h2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "h1", "h2", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["h1", "h2"])
     left = checkpointed(survivors_of(reps, need))
     found = checkpointed(candidates(posts_of(left, need, False), need, percent))
-    links = confirm(found, posts_of(left, need, True), docs, need, words, percent, id_col, text_col)
+    dense = checkpointed(posts_of(left, need, True))
+    sets = sets_of(docs, found.select("rep").unionByName(dense.select("rep")), words, id_col, text_col)
+    links = confirm(found, sets, percent).unionByName(dense_links(dense, sets, need, percent))
     # Rows that share an id are one document: its sets' representatives are linked.
     shared = base.where("n_shingles > 0 AND doc_id IS NOT NULL").join(groups, ["h1", "h2"]).where(F.col("doc_id") != F.col("rep")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     roots = components(links.unionByName(shared))
@@ -401,15 +517,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, with one document of each component left; documents without an id all stay."""
-    gone = checkpointed(near_duplicates(docs, words, percent).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    """The documents, all columns, with one document of each component left.
+
+    Rows without an id are documents by their text: they go if their component has a document with an id, else one
+    stays. Of rows that share an id the one with the smallest hash of its text stays. Texts without words all stay,
+    but for rows that repeat an id.
+    """
+    own = list(docs.columns)
+    name, gone_id, twice, least, rows = unused(own, "_name", "_gone", "_twice", "_least", "_rows")
+    text = F.col("text").cast("string")
+    # Names for rows without an id: above any id that counts up, so that documents with ids stay.
+    named = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("long"), F.when(text.rlike(WORD), F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(text), 2))))
+    gone = checkpointed(near_duplicates(named.select(name, "text"), words, percent, id_col=name).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias(gone_id)).distinct())
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    left = named.join(gone, F.col(name) == F.col(gone_id), "left_anti")
     # Rows that repeat an id: one of them stays.
-    twice = left.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("_least")).where("n > 1")
-    again = checkpointed(twice.select(F.col("doc_id").alias("_twice"), "_least"))
+    again = checkpointed(left.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(twice)).agg(F.count("*").alias(rows), F.min(F.xxhash64("text")).alias(least)).where(F.col(rows) > 1).drop(rows))
     if again.count() == 0:
-        return left
-    once = left.join(again, F.col("doc_id") == F.col("_twice"), "left").where(F.col("_twice").isNull() | (F.xxhash64("text") == F.col("_least"))).drop("_twice", "_least")
-    return once.where("doc_id IS NULL").unionByName(once.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+        return left.drop(name)
+    once = left.join(again, F.col(name) == F.col(twice), "left").where(F.col(twice).isNull() | (F.xxhash64("text") == F.col(least))).drop(least)
+    kept = once.where(F.col(twice).isNull()).unionByName(once.where(F.col(twice).isNotNull()).dropDuplicates([name]))
+    return kept.drop(name, twice)
