@@ -16,11 +16,11 @@
    the match threshold. Candidates are confirmed on the full sets; those that
    confirmed links of their list connect already are skipped.
 4. Longer lists (large groups of near copies) never write out their pairs. A few
-   of a list's rows, its pivots, are compared with all of its rows; links make
-   components. A list whose rows are in one component is done. In the others the
-   rows outside the largest component, which more rounds of pivots make few, meet
-   all rows in tiles of at most BLOCK by BLOCK rows, where pairs of one component
-   are skipped. This loses no component.
+   of a list's rows, its pivots, are compared with all rows whose longest list it
+   is; links join rows. A list whose rows are all joined is done. In the others the
+   rows outside the largest joined part, which more rounds of pivots make few,
+   meet all rows in tiles of about BLOCK by BLOCK rows, where pairs that are
+   joined already are skipped. This loses no component.
 5. Components by alternating large-star and small-star steps.
 
 Defined results: texts without words, empty and null ones have the empty set
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WORD, checkpointed, shuffle_parts, small_batches, unused
+from tracemill.llm.common import WORD, checkpointed, shuffle_parts, small_batches, unused, written
 
 COORDINATES = 64
 #: Share of links at the threshold that the count may miss.
@@ -52,7 +52,7 @@ BLOCK = 512
 #: Rows of a list from which it counts as long.
 DENSE = 64
 #: Pivots of a long list in a round, and rounds at most: another one is made while tiles would copy each row more than COPIES times.
-PIVOTS, ROUNDS, COPIES = 3, 5, 2
+PIVOTS, ROUNDS, COPIES = 3, 4, 4
 #: Ids are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rank of a coordinate whose value no other representative has.
@@ -282,7 +282,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def sets_of(docs: DataFrame, needed: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rep, h1, grams: the sets of the rows whose id is among `needed` (rep); rows that repeat an id and its text have one."""
-    needed = checkpointed(needed.distinct())
+    needed = written(needed.distinct())
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(needed, "rep", "left_semi")
@@ -352,28 +352,36 @@ def _upto(blocks: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), blocks - 1))
 
 
-def pivot_links(dense: DataFrame, pivots: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
-    """a, b: confirmed links of rows with their lists' pivots (token, df, p). A pivot is sent once for every BLOCK rows, so that no task holds a whole list."""
-    p = F.col("p")
-    spread = pivots.select("token", _upto(_blocks("df")).alias("own"), p["rep"].alias("p_rep"), p["h1"].alias("p_h1"), p["n"].alias("p_n"), p["vec"].alias("p_vec"))
-    fits = 100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n")
-    met = dense.withColumn("own", _block_of(_blocks("df"), 1)).join(spread, ["token", "own"]).where(((F.col("rep") != F.col("p_rep")) | (F.col("h1") != F.col("p_h1"))) & fits)
+def pivot_links(asked: DataFrame, pivots: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
+    """a, b: confirmed links of rows (asked: one list each) with the list's pivots (token, df, p). A pivot is sent once for every BLOCK rows, so that no task holds a whole list."""
+    p, keys = F.col("p"), ["token", "own"]
+    cols = [*keys, "rep", "h1", "n", "vec", "is_pivot"]
+    spread = pivots.select("token", _upto(_blocks("df")).alias("own"), "df", p["rep"].alias("rep"), p["h1"].alias("h1"), p["n"].alias("n"), p["vec"].alias("vec"), F.lit(True).alias("is_pivot"))
+    parts = max(1, shuffle_parts(asked.sparkSession))
+    met = asked.select("token", _block_of(_blocks("df"), 1).alias("own"), "df", "rep", "h1", "n", "vec", F.lit(False).alias("is_pivot")).unionByName(spread).select(*cols, "df")
+    laid = met.repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def collide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                (v, rank), (pv, p_rank) = _vectors(pdf["vec"]), _vectors(pdf["p_vec"])
-                hits = ((v == pv) & (rank != GONE) & (p_rank != GONE)).sum(axis=1)
-                yield pdf[["rep", "h1", "p_rep", "p_h1"]][hits >= need].drop_duplicates()
-
-    pairs = met.select("rep", "h1", "p_rep", "p_h1", "vec", "p_vec").mapInPandas(collide, "rep long, h1 long, p_rep long, p_h1 long").distinct()
-    # A pivot's set is sent once for every BLOCK rows of its longest list.
-    most = pivots.groupBy(p["rep"].alias("p_rep"), p["h1"].alias("p_h1")).agg(F.max("df").alias("p_df"))
-    p_sets = sets.select(F.col("rep").alias("p_rep"), F.col("h1").alias("p_h1"), F.col("grams").alias("p_grams")).join(most, ["p_rep", "p_h1"]).select("p_rep", "p_h1", "p_grams", _blocks("p_df").alias("of"))
-    shares = most.select("p_rep", "p_h1", _blocks("p_df").alias("of"))
-    pairs = pairs.join(_small(shares), ["p_rep", "p_h1"]).withColumn("own", _block_of(F.col("of"), 2)).drop("of")
-    p_sets = p_sets.withColumn("own", _upto(F.col("of"))).drop("of")
-    both = pairs.join(sets, ["rep", "h1"]).join(p_sets, ["p_rep", "p_h1", "own"]).select("rep", "p_rep", "grams", "p_grams")
+        for rows, starts in _Groups(batches, keys):
+            v, rank = _vectors(rows["vec"])
+            rep, h1, n, df = (rows[k].to_numpy(np.int64) for k in ("rep", "h1", "n", "df"))
+            is_pivot, out = rows["is_pivot"].to_numpy(bool), []
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                members, chosen = s + np.flatnonzero(~is_pivot[s:e]), s + np.flatnonzero(is_pivot[s:e])
+                for q in chosen:
+                    fits = 100 * np.minimum(n[members], n[q]) >= percent * np.maximum(n[members], n[q])
+                    some = members[fits & ((rep[members] != rep[q]) | (h1[members] != h1[q]))]
+                    hits = ((v[some] == v[q]) & (rank[some] != GONE) & (rank[q] != GONE)).sum(axis=1)
+                    some = some[hits >= need]
+                    out.append(pd.DataFrame({"rep": rep[some], "h1": h1[some], "p_rep": rep[q], "p_h1": h1[q], "p_df": df[q]}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    pairs = laid.mapInPandas(collide, "rep long, h1 long, p_rep long, p_h1 long, p_df long")
+    # A pivot's set is sent once for every BLOCK rows of its list.
+    p_sets = sets.select(F.col("rep").alias("p_rep"), F.col("h1").alias("p_h1"), F.col("grams").alias("p_grams"))
+    p_sets = pivots.select(p["rep"].alias("p_rep"), p["h1"].alias("p_h1"), F.col("df").alias("p_df")).distinct().join(p_sets, ["p_rep", "p_h1"]).withColumn("own", _upto(_blocks("p_df")))
+    both = pairs.withColumn("own", _block_of(_blocks("p_df"), 2)).join(sets, ["rep", "h1"]).join(p_sets, ["p_rep", "p_h1", "p_df", "own"]).select("rep", "p_rep", "grams", "p_grams")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -384,16 +392,19 @@ def pivot_links(dense: DataFrame, pivots: DataFrame, sets: DataFrame, need: int,
     return both.mapInPandas(check, "a long, b long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Sent to all executors if it has at most BROADCAST_IDS rows, which are narrow."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def _near_roots(links: DataFrame) -> DataFrame:
+    """node, root: of the pivots that links lead to the one with the most links, in up to four steps. Nodes with one root are connected; not all connected nodes have one root."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), "b").distinct())
+    weights = written(links.groupBy("b").agg(F.count("*").alias("n")))
+    roots = written(both.join(weights, "b").groupBy(F.col("a").alias("node")).agg(F.max_by("b", F.struct("n", "b")).alias("root")))
+    for _ in range(2):
+        up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        roots = written(roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+    return roots
 
 
-def _apart(names: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _apart(names: DataFrame, roots: DataFrame) -> DataFrame:
     """token, rep, h1, df, comp, minor, n_minor: rows of lists that hold several components; minor ones are not in the list's largest."""
-    if roots is None:
-        return names.select("token", "rep", "h1", "df", F.col("rep").alias("comp"), F.lit(True).alias("minor"), F.col("df").alias("n_minor"))
     known = names.join(roots, names["rep"] == roots["node"], "left").select("token", "rep", "h1", "df", F.coalesce("root", "rep").alias("comp"))
     sizes = known.groupBy("token", "df", "comp").agg(F.count("*").alias("n"))
     lists = sizes.groupBy("token", "df").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("n_major"), F.count("*").alias("comps")).where("comps > 1")
@@ -449,28 +460,32 @@ def dense_links(dense: DataFrame, sets: DataFrame, need: int, percent: int) -> D
     if not n_rows:
         return links
     names = dense.select("token", "rep", "h1", "df")
-    apart, roots = names, None
+    apart = None
     for at in range(ROUNDS):
-        apart = checkpointed(_apart(names, roots))
+        # A row meets the pivots of one list, its longest: where it is still apart, after the first round.
+        rows = dense if apart is None else dense.drop("df").join(apart.select("token", "rep", "h1", "df", "minor"), ["token", "rep", "h1"])
+        asked = written(rows.groupBy("rep", "h1").agg(F.max_by(F.struct(*rows.columns), F.struct("df", "token")).alias("x")).select("x.*"))
+        # All lists choose among all of their rows by one order, so that lists with much in common have the same pivots.
+        by = F.xxhash64("rep", "h1", F.lit(at))
+        among = names if apart is None else apart.where("minor")
+        chosen = among.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "df", F.pmod(by, F.lit(PIVOTS))).agg(F.min_by(F.struct("rep", "h1"), by).alias("p")).select("token", "df", "p.rep", "p.h1")
+        pivots = written(chosen.join(dense.select("token", "rep", "h1", "n", "vec"), ["token", "rep", "h1"]).select("token", "df", F.struct("rep", "h1", "n", "vec").alias("p")))
+        links = written(links.unionByName(pivot_links(asked, pivots, sets, need, percent)))
+        apart = written(_apart(names, _near_roots(links)))
         copies = apart.agg(F.sum(_blocks("n_minor") + F.when(F.col("minor"), _blocks("df")).otherwise(0)).alias("n")).collect()[0]["n"]
         if not copies:
             return links
-        if roots is not None and copies <= COPIES * n_rows:
+        if copies <= COPIES * n_rows:
             break
-        named = dense.drop("df").join(apart.where("minor").select("token", "rep", "h1", "df"), ["token", "rep", "h1"]) if roots is not None else dense
-        by = F.xxhash64("rep", "h1")
-        pivots = checkpointed(named.groupBy("token", "df", F.pmod(F.xxhash64("rep", "h1", F.lit(100 + at)), F.lit(PIVOTS))).agg(F.min_by(F.struct("rep", "h1", "n", "vec"), by).alias("p")).select("token", "df", "p"))
-        links = checkpointed(links.unionByName(pivot_links(dense, pivots, sets, need, percent)).distinct())
-        roots = components(links)
-    else:
-        apart = checkpointed(_apart(names, roots))
+    if apart is None:
+        apart = names.select("token", "rep", "h1", "df", F.col("rep").alias("comp"), F.lit(True).alias("minor"), F.col("df").alias("n_minor"))
     return links.unionByName(tile_links(dense, apart, sets, need, percent))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root: the smallest node that links lead to, for every node that has a link."""
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
-    edges = checkpointed(links.where(F.col("a") != F.col("b")).select(hi, lo).distinct())
+    edges = written(links.where(F.col("a") != F.col("b")).select(hi, lo).distinct())
     state = None
     while True:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).collect()[0])
@@ -484,7 +499,7 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the smallest of these.
         least = large.groupBy("hi").agg(F.min("lo").alias("least"))
         small = large.join(least, "hi").where(F.col("lo") != F.col("least")).select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-        edges = checkpointed(small.unionByName(least.select("hi", F.col("least").alias("lo"))).distinct())
+        edges = written(small.unionByName(least.select("hi", F.col("least").alias("lo"))).distinct())
     return edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
 
 
