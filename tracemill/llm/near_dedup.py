@@ -416,14 +416,13 @@ def _apart(names: DataFrame, roots: DataFrame) -> DataFrame:
 
 def tile_links(dense: DataFrame, apart: DataFrame, sets: DataFrame, need: int, percent: int) -> DataFrame:
     """a, b: confirmed links between the components of a list. Its minor rows meet all of its rows in tiles."""
-    rows = dense.drop("df").join(apart, ["token", "rep", "h1"])
-    own, minor_own = _block_of(_blocks("df"), 1), _block_of(_blocks("n_minor"), 3)
-    cols = ["token", "coord", "rep", "h1", "n", "vec", "comp", "minor"]
-    asked = rows.select(*cols, own.alias("bj"), _upto(_blocks("n_minor")).alias("bi"), F.lit(False).alias("asks"))
-    asking = rows.where("minor").select(*cols, _upto(_blocks("df")).alias("bj"), minor_own.alias("bi"), F.lit(True).alias("asks"))
-    keys = ["token", "bi", "bj"]
+    rows = dense.drop("df").join(apart, ["token", "rep", "h1"]).join(sets, ["rep", "h1"])
+    # A row is asked in its own block by every block of minor rows; a minor row asks in all blocks.
+    asked = F.transform(F.sequence(F.lit(0), _blocks("n_minor") - 1), lambda i: F.struct(i.alias("bi"), _block_of(_blocks("df"), 1).alias("bj"), F.lit(False).alias("asks")))
+    asking = F.transform(F.sequence(F.lit(0), _blocks("df") - 1), lambda j: F.struct(_block_of(_blocks("n_minor"), 3).alias("bi"), j.alias("bj"), F.lit(True).alias("asks")))
+    cols, keys = ["token", "coord", "rep", "h1", "n", "vec", "comp", "minor", "grams"], ["token", "bi", "bj"]
     parts = max(1, shuffle_parts(dense.sparkSession))
-    laid = asked.unionByName(asking).join(sets, ["rep", "h1"]).repartition(parts, *keys).sortWithinPartitions(*keys)
+    laid = rows.select(*cols, F.explode(F.when(F.col("minor"), F.concat(asked, asking)).otherwise(asked)).alias("at")).select(*cols, "at.*").repartition(parts, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for every, starts in _Groups(batches, keys):
