@@ -153,6 +153,11 @@ VERDICTS = [
     (claim("test"), {"writes": [write(1)]}, "CONTRADICTED", "no-test-run"),
     (claim("test"), {"writes": [write(1)], "incomplete": True}, "UNVERIFIED", "ledger-incomplete"),
     (claim("test"), {}, "UNVERIFIED", "no-test-run"),
+    (claim("test"), {"writes": [write(1)], "segments": [fact(2, raw="./ci.sh", may_run_tests=True)]}, "UNVERIFIED", "no-test-run"),
+    (claim("test"), {"writes": [write(1, source="shell")]}, "UNVERIFIED", "no-test-run"),
+    (claim("test"), {"writes": [write(1)], "runs": [run(2, "red", snapshot_update=True)]}, "UNVERIFIED", "no-test-run"),
+    (claim("file", verb="update", subject="z.py"), {"writes": [write(1)], "segments": [fact(2, opaque_write=True)]}, "UNVERIFIED", "write-not-observable"),
+    (claim("file", verb="update", subject="z.py"), {"writes": [write(1, "/v/sub/z.py"), write(2, "/v/z.py")], "segments": [fact(0, cwd="/v")]}, "VERIFIED", "ok"),
     (claim("test"), {"runs": [run(2, background=True)]}, "UNVERIFIED", "run-in-background"),
     (claim("test", count=41), {"runs": [run(2, passed=41)]}, "VERIFIED", "ok"),
     (claim("test", count=41), {"runs": [run(2, passed=40)]}, "UNVERIFIED", "count-short"),

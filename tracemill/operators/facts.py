@@ -85,7 +85,7 @@ def commands(calls: DataFrame) -> DataFrame:
 def exploded(commands_: DataFrame) -> DataFrame:
     """One row a segment, with its place in the call (380)."""
     cols = [c for c in commands_.columns if c not in ("segments", "exit", "exit_source", "cwd", "background")]
-    return commands_.select(*cols, F.col("exit").alias("call_exit"), F.posexplode("segments").alias("ordinal", "s")).select(*cols, "call_exit", "ordinal", *[F.col(f"s.{c}").alias(c) for c in ("raw", "program", "argv", "family", "runner", "scope", "targets", "link", "piped", "sink", "background", "suppressed", "snapshot_update", "may_write", "cwd", "exit", "exit_source", "ran", "redirects", "heredoc")])
+    return commands_.select(*cols, F.col("exit").alias("call_exit"), F.posexplode("segments").alias("ordinal", "s")).select(*cols, "call_exit", "ordinal", *[F.col(f"s.{c}").alias(c) for c in ("raw", "program", "argv", "family", "runner", "scope", "targets", "link", "piped", "sink", "background", "suppressed", "snapshot_update", "may_write", "may_run_tests", "opaque_write", "cwd", "exit", "exit_source", "ran", "redirects", "heredoc")])
 
 
 def segment_status(segments: DataFrame) -> Column:
@@ -144,7 +144,7 @@ def apply_reverts(writes_: DataFrame, segments: DataFrame) -> DataFrame:
 
 def test_runs(segments: DataFrame) -> DataFrame:
     """Runs of test runners with counts and a verdict (195-200)."""
-    own = segments.where((F.col("family") == "test") & F.coalesce("ran", F.lit(True)) & ~F.col("background") & ~F.col("denied"))
+    own = segments.where((F.col("family") == "test") & F.coalesce("ran", F.lit(True)) & ~F.col("denied"))
     parsed = own.withColumn("r", runners.parsed_run(F.col("runner"), F.col("output")))
     red = (F.col("r.failed") > 0) | (F.col("r.errors") > 0) | (F.col("r.suites_failed") > 0)
     bad_exit = F.coalesce((F.col("exit") != 0) & ~F.col("piped"), F.lit(False))
@@ -153,7 +153,7 @@ def test_runs(segments: DataFrame) -> DataFrame:
     alone = (F.count("*").over(Window.partitionBy("session_key", "seq")) == 1) & ~F.col("piped") & ~F.col("suppressed") & ~F.col("truncated")
     green = F.when(F.col("snapshot_update"), "red").when(some & red, "red").when(bad_exit, "red").when(some & (F.col("r.total") == 0), "red").when(some & (ok_exit | ~F.col("timed_out")), "green").when(F.coalesce(F.col("exit") == 0, F.lit(False)) & alone, "green").otherwise("unknown")
     conclusive = ~F.col("snapshot_update") & ((some & (red | ok_exit | ~F.col("timed_out"))) | bad_exit)
-    return parsed.select(*KEYS, "ordinal", "raw", F.coalesce("r.runner", "runner").alias("runner"), "scope", "targets", "exit", "exit_source", F.col("r.passed").alias("passed"), F.col("r.failed").alias("failed"), F.col("r.skipped").alias("skipped"), F.col("r.errors").alias("errors"), F.col("r.total").alias("total"), green.alias("green"), F.coalesce(conclusive, F.lit(False)).alias("conclusive"))
+    return parsed.select(*KEYS, "ordinal", "raw", F.coalesce("r.runner", "runner").alias("runner"), "scope", "targets", "exit", "exit_source", F.col("r.passed").alias("passed"), F.col("r.failed").alias("failed"), F.col("r.skipped").alias("skipped"), F.col("r.errors").alias("errors"), F.col("r.total").alias("total"), green.alias("green"), F.coalesce(conclusive, F.lit(False)).alias("conclusive"), F.coalesce("background", F.lit(False)).alias("background"), "snapshot_update")
 
 
 def checks(segments: DataFrame) -> DataFrame:

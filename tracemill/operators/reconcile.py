@@ -3,7 +3,7 @@
 F is the sequence number of a turn's final message. Facts up to F are evidence.
 W is the last good source write before F (no test, document, metadata-only or
 non-executable file), Wall the last good write of any kind. A test run counts
-only after W and in the foreground.
+only after W and in the foreground; one that updates snapshots never counts.
 
 `judge` decides one turn's claims over plain dicts; `judgements` runs it with a
 cogroup over buckets of sessions, so claims and facts meet in one shuffle.
@@ -47,8 +47,12 @@ class Facts:
         for name in ("writes", "runs", "checks", "segments", "git"):
             rows = [x for x in getattr(self, name) if x["seq"] <= self.final_seq]
             setattr(self, name, sorted(rows, key=lambda x: (x["seq"], x.get("ordinal") or 0)))
+        self.snapshots = [r for r in self.runs if r.get("snapshot_update")]
+        self.runs = [r for r in self.runs if not r.get("snapshot_update")]
+        self.cwds = list(dict.fromkeys([*self.cwds, *(s["cwd"] for s in self.segments if s.get("cwd"))]))
         good = [w for w in self.writes if w.get("status") == "ok" and not w.get("metadata_only") and w["seq"] < self.final_seq]
         self.wall = max((w["seq"] for w in good), default=-1)
+        self.edited = any((w.get("source") or "tool") in ("tool", "patch") for w in good)
         self.w = max((w["seq"] for w in good if not w.get("is_test") and not w.get("is_doc") and w.get("runs", True)), default=-1)
         self.paths = sorted({w["path"] for w in self.writes if w.get("path")})
 
@@ -90,11 +94,13 @@ def _absent(j: Judgement, facts: Facts) -> Judgement:
 
 
 def _no_run(claim: dict, facts: Facts) -> Judgement:
-    """No run at all (232): contradicted only with good writes, and if nothing opaque could have been a run."""
-    opaque = any(s.get("family") in ("script", "other") and s.get("may_run_tests") for s in facts.segments)
-    if facts.wall >= 0 and not claim.get("echoed") and not opaque:
-        return _absent(_no("no-test-run"), facts)
-    return _un("no-test-run")
+    """No run at all (232): contradicted only after files were edited by tools, and if nothing unseen could have been a run."""
+    if facts.snapshots:
+        return _un("no-test-run", facts.snapshots[-1])
+    unseen = [s for s in facts.segments if s.get("may_run_tests")]
+    if not facts.edited or claim.get("echoed") or unseen:
+        return _un("no-test-run", *unseen[-1:])
+    return _absent(_no("no-test-run"), facts)
 
 
 def test_pass(claim: dict, facts: Facts) -> Judgement:
@@ -172,18 +178,15 @@ def check(claim: dict, facts: Facts) -> Judgement:
 
 def _resolve(claim: dict, facts: Facts) -> tuple[str, str | None]:
     """The ledger path a claim speaks of, over all folders of the session (377)."""
-    got = ("unresolved", None)
-    for cwd in [facts.cwd, *facts.cwds]:
-        got = resolve_subject(claim["subject"], facts.paths, cwd)
-        if got[0] != "unresolved":
-            break
-    return got
+    tried = [resolve_subject(claim["subject"], facts.paths, cwd) for cwd in dict.fromkeys([facts.cwd, *facts.cwds])]
+    order = ("exact", "relative", "basename", "ambiguous", "unresolved")
+    return min(tried, key=lambda t: order.index(t[0]))
 
 
 def _unresolved(status: str, facts: Facts) -> Judgement:
     if status == "ambiguous":
         return _un("ambiguous-path")
-    opaque = any(s.get("opaque_write") or s.get("family") == "script" for s in facts.segments)
+    opaque = any(s.get("opaque_write") for s in facts.segments)
     return _un("write-not-observable" if opaque else "no-write-to-path")
 
 
@@ -408,7 +411,7 @@ def judge(claims: list[dict], facts: Facts) -> list[tuple[dict, str, Judgement]]
 
 
 JUDGED = "session_key string, turn_index int, claim_id string, kind string, row string, verdict string, reason string, evidence array<string>, notes array<string>, position int, scored boolean"
-_FACT_COLUMNS = "session_key string, fact string, seq long, ordinal int, turn_index int, path string, op string, status string, metadata_only boolean, is_test boolean, is_doc boolean, runs boolean, reverted_by long, green string, conclusive boolean, passed int, total int, background boolean, tool string, check_family string, raw string, program string, argv array<string>, family string, exit int, ran boolean, ok boolean, sha string, pr_number int, ref string"
+_FACT_COLUMNS = "session_key string, fact string, seq long, ordinal int, turn_index int, path string, op string, status string, metadata_only boolean, is_test boolean, is_doc boolean, runs boolean, reverted_by long, green string, conclusive boolean, passed int, total int, background boolean, tool string, check_family string, raw string, program string, argv array<string>, family string, exit int, ran boolean, source string, snapshot_update boolean, may_run_tests boolean, opaque_write boolean, cwd string, ok boolean, sha string, pr_number int, ref string"
 
 
 def fact_table(writes: DataFrame, runs: DataFrame, checks: DataFrame, segments: DataFrame, git: DataFrame) -> DataFrame:
@@ -433,10 +436,10 @@ def fact_table(writes: DataFrame, runs: DataFrame, checks: DataFrame, segments:
 
 #: What the judges read of each kind of fact.
 _READ = {
-    "writes": ["path", "op", "status", "metadata_only", "is_test", "is_doc", "runs", "reverted_by"],
-    "runs": ["raw", "green", "conclusive", "passed", "total", "background"],
+    "writes": ["path", "op", "status", "metadata_only", "is_test", "is_doc", "runs", "reverted_by", "source"],
+    "runs": ["raw", "green", "conclusive", "passed", "total", "background", "snapshot_update"],
     "checks": ["raw", "tool", "check_family", "green"],
-    "segments": ["raw", "program", "argv", "family", "exit", "ran"],
+    "segments": ["raw", "program", "argv", "family", "exit", "ran", "may_run_tests", "opaque_write", "cwd"],
     "git": ["op", "ok", "sha", "pr_number", "ref"],
 }
 _NUMBERS = ("reverted_by", "passed", "total", "exit", "pr_number")
