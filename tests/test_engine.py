@@ -124,6 +124,77 @@ def test_claims():
     assert claims.resolve_subject("a.py", ["/w/src/a.py", "/w/b.py"], "/w") == ("basename", "/w/src/a.py") and claims.resolve_subject("b.py", ["/w/src/a.py", "/w/b.py"], "/w") == ("relative", "/w/b.py")
 
 
+#: A message for each rule: what it says, and the same denied or put off.
+SAID = {
+    "test.pass": ("All 12 unit tests are now passing.", "The tests are not green."),
+    "test.counts": ("41 passed", "41 tests passed before my changes."),
+    "test.gate": ("The full validation gate (88 tests, ruff, mypy) passed.", "The validation gate never passed."),
+    "test.count_clean": ("88 tests, all clean.", "88 tests should come back clean."),
+    "test.ran": ("I ran the test suite.", "I could not run the tests."),
+    "test.nofail": ("There are no failing tests.", "If there are no failing tests, ship it."),
+    "test.green_marker": ("Green.", None),
+    "test.added": ("I added 3 new tests.", "I have not added tests."),
+    "check.lint": ("eslint is clean.", "eslint will probably pass."),
+    "check.type": ("mypy --strict passes.", "mypy should pass."),
+    "check.format": ("The code is formatted.", "The code is not formatted."),
+    "check.build": ("The code compiles.", "It compiles if you update node."),
+    "check.marker": ("✅ types", "❌ types"),
+    "file.verb": ("I updated `src/app.py`.", "I haven't updated `src/app.py`."),
+    "file.implemented_in": ("The parser is implemented in `src/parse.py`.", "The parser is not implemented in `src/parse.py`."),
+    "file.count": ("4 files changed.", "No more than 4 files changed."),
+    "file.new_file": ("A new file: `src/new.py`", "Next I'll write a new file `src/new.py`."),
+    "command.ran": ("I ran `make all`.", "You should run `make all`."),
+    "command.ran_bare": ("I ran the migrations.", "I never ran the migrations."),
+    "install.pkg": ("I installed `left-pad` as a dev dependency.", "I will add `left-pad` as a dependency."),
+    "git.commit": ("I committed it.", "I have not committed it."),
+    "git.push": ("I pushed the branch.", "I haven't pushed the branch."),
+    "git.pr": ("I opened a pull request #7.", "I have not opened a PR."),
+    "git.branch": ("I created a new branch `feat/x`.", "I have not created a branch `feat/x`."),
+    "git.tag": ("I tagged v1.2.0.", "I haven't tagged v1.2.0."),
+    "nochange.marker": ("No changes were needed.", "No changes should be needed, so nothing changed."),
+    "verify.generic": ("It works as expected.", "It should work."),
+    "verify.with_cmd": ("I verified with `make check`.", "I have not verified with `make check`."),
+    "done.marker": ("Everything is done.", "Everything is done once you merge."),
+}
+
+
+@pytest.mark.parametrize("rule", list(SAID))
+def test_every_rule_fires(rule):
+    yes, no = SAID[rule]
+    assert (rule, "positive", "agent") in kinds(yes), kinds(yes)
+    if no is not None:
+        assert all(p != "positive" for r, p, _ in kinds(no) if r == rule), kinds(no)
+
+
+def test_rules_in_order():
+    assert list(SAID) == list(claims.RULES) and len(SAID) == 29
+
+
+@pytest.mark.parametrize(
+    ("text", "paths"),
+    [
+        ("see `a b.py`, `src/x.py` and lib/y.ts.", ["src/x.py", "lib/y.ts"]),
+        ("Node.js, v1.2.3, https://x.y/z.html, and/or, 3/4 and README.md's", ["README.md"]),
+        ("(./run.sh) ~/notes/today.txt src/parse", ["run.sh", "~/notes/today.txt", "src/parse"]),
+        ("Makefile and other", ["Makefile"]),
+    ],
+)
+def test_paths(text, paths):
+    assert [p for p, _, _ in claims.find_paths(text, ["/w/Makefile"])] == paths
+    assert all(text[a:b].removeprefix("./") == p for p, a, b in claims.find_paths(text, ["/w/Makefile"]))
+
+
+def test_clauses():
+    text = "<!-- all tests pass\n--> **Next steps:** run `a; b`\n~~~\ncode\n~~~\nIt works, e.g. here. Lint is clean; tests pass except one.\n| a | b |\n|---|---|\n> quoted\n1. [x] **Bold** and _it_\n## TODO\nlater"
+    got, n = claims.analyse(text)
+    assert [(c.text, c.deferred, c.partial) for c in got] == [
+        ("Next steps", True, False), ("run `a; b`", True, False), ("It works, e.g. here.", False, False), ("Lint is clean", False, False), ("tests pass", False, True), ("one.", False, True), ("a b", False, False), ("Bold and it", False, False), ("later", True, False),
+    ] and n == 6
+    assert claims.normalize("“a” ‘b’ c–d\u00a0ﬁ") == "\"a\" 'b' c—d fi"
+    assert claims.blank_spans("a `b c` `d` `") == "a         " + "  `" and claims.blank_spans("`a b` `c`", True) == "      `c`"
+    assert claims.strip_fences("a\n```\nb") == ["a"]
+
+
 # Verdicts: a case for and one against each row.
 
 
