@@ -51,7 +51,7 @@ MISS = 1e-6
 BLOCK = 512
 #: Rows of a list from which it counts as long.
 DENSE = 64
-#: Pivots of a long list in a round, and rounds at most: another one is made while tiles would copy each row more than COPIES times.
+#: Pivots of a long list in a round, and rounds at most: another one is made while tiles would copy each row more than COPIES times and the last one halved that.
 PIVOTS, ROUNDS, COPIES = 3, 4, 4
 #: Ids are sent to all executors up to this many (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -404,8 +404,8 @@ def _near_roots(links: DataFrame) -> DataFrame:
 
 
 def _apart(names: DataFrame, roots: DataFrame) -> DataFrame:
-    """token, rep, h1, df, comp, minor, n_minor: rows of lists that hold several components; minor ones are not in the list's largest."""
-    known = names.join(roots, names["rep"] == roots["node"], "left").select("token", "rep", "h1", "df", F.coalesce("root", "rep").alias("comp"))
+    """token, rep, h1, df, comp, minor, n_minor: rows of lists that hold several components; minor ones are not in the list's largest. names: rep, h1, lists (token, df)."""
+    known = names.join(roots, names["rep"] == roots["node"], "left").select("rep", "h1", F.coalesce("root", "rep").alias("comp"), F.inline("lists"))
     sizes = known.groupBy("token", "df", "comp").agg(F.count("*").alias("n"))
     lists = sizes.groupBy("token", "df").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("all"), F.max("n").alias("n_major"), F.count("*").alias("comps")).where("comps > 1")
     # Each list's largest component is sent once for every BLOCK of its rows.
@@ -458,26 +458,28 @@ def dense_links(dense: DataFrame, sets: DataFrame, need: int, percent: int) -> D
     links = dense.sparkSession.createDataFrame([], "a long, b long")
     if not n_rows:
         return links
-    names = dense.select("token", "rep", "h1", "df")
-    apart = None
+    names = written(dense.groupBy("rep", "h1").agg(F.collect_list(F.struct("token", "df")).alias("lists")))  # 64 lists a row at most
+    apart, before = None, 0
     for at in range(ROUNDS):
         # A row meets the pivots of one list, its longest: where it is still apart, after the first round.
         rows = dense if apart is None else dense.drop("df").join(apart.select("token", "rep", "h1", "df", "minor"), ["token", "rep", "h1"])
         asked = written(rows.groupBy("rep", "h1").agg(F.max_by(F.struct(*rows.columns), F.struct("df", "token")).alias("x")).select("x.*"))
         # All lists choose among all of their rows by one order, so that lists with much in common have the same pivots.
         by = F.xxhash64("rep", "h1", F.lit(at))
-        among = names if apart is None else apart.where("minor")
+        among = dense if apart is None else apart.where("minor")
         chosen = among.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "df", F.pmod(by, F.lit(PIVOTS))).agg(F.min_by(F.struct("rep", "h1"), by).alias("p")).select("token", "df", "p.rep", "p.h1")
         pivots = written(chosen.join(dense.select("token", "rep", "h1", "n", "vec"), ["token", "rep", "h1"]).select("token", "df", F.struct("rep", "h1", "n", "vec").alias("p")))
         links = written(links.unionByName(pivot_links(asked, pivots, sets, need, percent)))
         apart = written(_apart(names, _near_roots(links)))
+        names = written(apart.groupBy("rep", "h1").agg(F.collect_list(F.struct("token", "df")).alias("lists")))
         copies = apart.agg(F.sum(_blocks("n_minor") + F.when(F.col("minor"), _blocks("df")).otherwise(0)).alias("n")).collect()[0]["n"]
         if not copies:
             return links
-        if copies <= COPIES * n_rows:
+        if copies <= COPIES * n_rows or before and 2 * copies > before:
             break
+        before = copies
     if apart is None:
-        apart = names.select("token", "rep", "h1", "df", F.col("rep").alias("comp"), F.lit(True).alias("minor"), F.col("df").alias("n_minor"))
+        apart = dense.select("token", "rep", "h1", "df", F.col("rep").alias("comp"), F.lit(True).alias("minor"), F.col("df").alias("n_minor"))
     return links.unionByName(tile_links(dense, apart, sets, need, percent))
 
 
