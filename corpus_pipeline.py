@@ -7,8 +7,8 @@
 5. bpe: the tokens of every document that is left.
 
 All but the last return the columns of documents. SQL can express neither the
-fitted classifier nor the rounding, so ORACLE_SQL is None and the stages are
-tested against brute force in tests/llm.
+fitted classifier nor the rounding, so ORACLE_SQL is None and what the stages
+call is tested in tests/llm.
 """
 
 from __future__ import annotations
