@@ -5,11 +5,11 @@ import math
 import duckdb
 import pytest
 
-from tracemill.plans import log_queries, table_queries
+from tracemill.plans import log_queries, session_queries, table_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = {**table_queries.QUERIES, **log_queries.QUERIES}
-ORACLES = {**table_queries.ORACLES, **log_queries.ORACLES}
+QUERIES = {**table_queries.QUERIES, **log_queries.QUERIES, **session_queries.QUERIES}
+ORACLES = {**table_queries.ORACLES, **log_queries.ORACLES, **session_queries.ORACLES}
 
 
 @pytest.fixture(scope="module")

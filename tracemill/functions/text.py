@@ -82,3 +82,8 @@ def safe_sid(sid: Column) -> Column:
 
 def short_hash(value: Column, n: int) -> Column:
     return F.substring(F.sha2(value, 256), 1, n)
+
+
+def canonical_json(json: Column) -> Column:
+    """A JSON text with sorted keys and no spaces, null if it does not parse (77): a variant keeps its keys sorted."""
+    return F.to_json(F.try_parse_json(json))

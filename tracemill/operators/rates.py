@@ -162,3 +162,21 @@ def also_did(writes: DataFrame, network: DataFrame, danger: DataFrame, git: Data
     ranked = every.withColumn("rank", F.row_number().over(w))
     over = ranked.where(F.col("rank") > cap).groupBy("session_key", "turn_index").agg(F.count("*").alias("n"), F.bool_or("warn").alias("warn")).select("session_key", "turn_index", F.lit(cap + 1).alias("rank"), F.concat(F.lit("+"), F.col("n").cast("string"), F.lit(" more")).alias("label"), "warn")
     return ranked.where(F.col("rank") <= cap).select("session_key", "turn_index", "rank", "label", "warn").unionByName(over)
+
+
+def also_said(judgements: DataFrame, most: int = 3) -> DataFrame:
+    """The first claims of a turn that are not scored, by position (160)."""
+    w = Window.partitionBy("session_key", "turn_index").orderBy("position", "claim_id")
+    return judgements.where("verdict = 'NOT_SCORED'").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def confusion(expected: DataFrame, found: DataFrame, match: Sequence[str], rule: str = "rule") -> DataFrame:
+    """Per rule, expected claims that were found, found ones that were not expected and the missed (147).
+
+    Claims meet by the columns of `match` (nulls equal), each of a repeated claim once: of e expected and f found
+    alike, the smaller number is right. Both sides are counted before they meet, so nothing is multiplied.
+    """
+    side = lambda df, e, f: df.select(rule, *match, F.lit(e).alias("e"), F.lit(f).alias("f"))
+    met = side(expected, 1, 0).unionByName(side(found, 0, 1)).groupBy(rule, *match).agg(F.sum("e").alias("e"), F.sum("f").alias("f"))
+    right = F.least("e", "f")
+    return met.groupBy(rule).agg(F.sum(right).alias("tp"), F.sum(F.col("f") - right).alias("fp"), F.sum(F.col("e") - right).alias("fn"))

@@ -1,0 +1,196 @@
+"""Queries of the timeline, selection and patch operators over the bundled tables, each with its SQL twin.
+
+An event is a call of its user's session, an order a turn of its customer's.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracemill.functions import text
+from tracemill.operators import patches, rates, selection, timeline
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select(F.col("user_id").alias("session_key"), F.col("event_id").alias("seq"), (F.col("event_id") % 3).cast("int").alias("turn_index"), "event_type", "value")
+
+
+@query("""
+WITH c AS (SELECT user_id, event_id, event_id % 3 AS ti, event_type, value, 'a' || (event_id % 2) AS agent_id, max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id, event_id % 3) AS f FROM events)
+SELECT user_id AS session_key, cast(ti AS INT) AS turn_index, agent_id, count(*) AS tool_calls, count(DISTINCT floor(value)) FILTER (event_type = 'click' AND value > 20) AS files, count(*) FILTER (event_type = 'purchase') AS test_runs
+FROM c WHERE event_id > f GROUP BY ALL""")
+def post_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each agent did after a turn's final message (47, 90, 91, 127)."""
+    c = _calls(spark, sf_dir).withColumn("agent_id", F.concat(F.lit("a"), (F.col("seq") % 2).cast("string")))
+    turns = c.groupBy("session_key", "turn_index").agg(F.max(F.when(F.col("event_type") == "view", F.col("seq"))).alias("final_seq"))
+    writes = c.where("event_type = 'click'").select("session_key", "seq", F.floor("value").cast("string").alias("path"), F.when(F.col("value") > 20, "ok").otherwise("failed").alias("status"), F.lit(False).alias("metadata_only"))
+    return timeline.post_final_groups(timeline.mark_post_final(c, turns), writes, c.where("event_type = 'purchase'"))
+
+
+@query("""
+SELECT user_id AS session_key, event_id AS seq, cast(event_id % 3 AS INT) AS turn_index, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS position,
+  concat_ws(',', CASE WHEN event_type = 'purchase' AND value > 50 THEN 'test' END, CASE WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'git' END,
+    CASE WHEN event_type = 'click' OR (event_type = 'purchase' AND value < 10) THEN 'write' END, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'danger' END,
+    CASE WHEN event_type = 'error' OR (event_type = 'purchase' AND event_id % 2 = 1) THEN 'error' END, CASE WHEN event_id % 11 = 0 THEN 'background' END) AS flags,
+  CASE event_type WHEN 'purchase' THEN 'run ' || event_id WHEN 'error' THEN 'Bash' WHEN 'click' THEN 'f' || event_id WHEN 'view' THEN 'u' || event_id ELSE 'about ' || event_id END AS summary,
+  round(coalesce((SELECT arg_max(u.value, u.event_id) FROM events u WHERE u.event_type = 'signup' AND u.user_id = e.user_id AND u.event_id <= e.event_id),
+    (SELECT arg_min(u.value, u.event_id) FROM events u WHERE u.event_type = 'signup' AND u.user_id = e.user_id AND u.event_id > e.event_id)), 6) AS usd
+FROM events e""")
+def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with position, summary, flags and nearest cost (105, 154, 399, 400)."""
+    c = _calls(spark, sf_dir)
+    kind, seq = F.col("event_type"), F.col("seq")
+    named = lambda k, prefix: F.when(kind == k, F.concat(F.lit(prefix), seq.cast("string")))
+    calls = c.select(
+        "session_key", "seq", "turn_index", F.when(kind.isin("purchase", "error"), "shell").when(kind == "click", "edit").when(kind == "view", "fetch").otherwise("other").alias("kind"), named("purchase", "run ").alias("command"), named("click", "f").alias("path"), named("view", "u").alias("url"), named("signup", "about ").alias("description"),
+        F.lit("Bash").alias("tool"), F.when(kind == "purchase", seq % 2).alias("exit"), (kind == "error").alias("is_error"), (seq % 11 == 0).alias("background"),
+    )
+    facts = {"test": c.where("event_type = 'purchase' AND value > 50"), "git": c.where("event_type = 'view' AND seq % 5 = 0"), "write": c.where("event_type = 'purchase' AND value < 10"), "danger": c.where("event_type = 'error' AND seq % 3 = 0")}
+    usage = c.where("event_type = 'signup'").select("session_key", "seq", F.col("value").alias("usd"))
+    built = timeline.build(calls, usage, facts)
+    return built.select("session_key", "seq", "turn_index", "position", F.array_join("flags", ",").alias("flags"), "summary", F.round("usd", 6).alias("usd"))
+
+
+@query("""
+WITH r AS (SELECT user_id, event_id, event_type = 'error' OR row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'error' DESC, event_id DESC) <= 5 AS keep FROM events),
+b AS (SELECT *, count(*) FILTER (keep) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS band FROM r)
+SELECT user_id AS session_key, event_id AS seq, 0 AS hidden FROM b WHERE keep UNION ALL SELECT user_id, min(event_id), count(*) FROM b WHERE NOT keep GROUP BY user_id, band""")
+def capped_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five calls a session, errors always, hidden runs counted (75, 76)."""
+    return timeline.cap(_calls(spark, sf_dir), ["session_key"], F.col("event_type") == "error", 5).select("session_key", "seq", "hidden")
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS k, md5(c_name) AS id FROM customer), q AS (SELECT DISTINCT upper(substr(id, 1, cast(k % 7 AS INT) + 1)) AS selector FROM s UNION SELECT 'log-' || k FROM s WHERE k % 5 = 0 UNION SELECT id FROM s WHERE k % 3 = 0),
+h AS (SELECT selector, count(DISTINCT k) FILTER (id = lower(selector)) AS ne, min(k) FILTER (id = lower(selector)) AS e, count(DISTINCT k) AS na, min(k) AS a FROM q LEFT JOIN s ON starts_with(id, lower(selector)) OR starts_with('log-' || k, lower(selector)) GROUP BY selector)
+SELECT selector, CASE WHEN ne = 1 THEN 'found' WHEN ne > 1 THEN 'ambiguous' WHEN length(selector) < 4 THEN 'too-short' WHEN na = 0 THEN 'not-found' WHEN na = 1 THEN 'found' ELSE 'ambiguous' END AS status,
+  CASE WHEN ne = 1 THEN e WHEN ne = 0 AND length(selector) >= 4 AND na = 1 THEN a END AS session_key FROM h""")
+def resolved_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed ids to sessions (95)."""
+    k = F.col("session_key")
+    s = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_key"), F.md5("c_name").alias("session_id")).withColumn("short_id", F.substring("session_id", 1, 8)).withColumn("file", F.concat(F.lit("log-"), k.cast("string")))
+    typed = s.select(F.upper(F.substring(F.col("session_id"), F.lit(1), (k % 7).cast("int") + 1)).alias("selector")).union(s.where(k % 5 == 0).select("file")).union(s.where(k % 3 == 0).select("session_id"))
+    return selection.resolve_ids(s, typed)
+
+
+@query("""
+SELECT o_custkey AS session_key, coalesce(max(o_orderkey) FILTER (o_orderstatus = 'F'), max(o_orderkey)) AS turn_index FROM orders
+WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY o_custkey""")
+def selected_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that ended in a span of time, one a session: the last done, else the last (87, 96)."""
+    turns = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_key"), F.col("o_orderkey").alias("turn_index"), F.col("o_orderdate").alias("ended"), (F.col("o_orderstatus") == "F").alias("is_done"))
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    return selection.select_turns(selection.ended_in(turns, day("1995-01-01"), day("1997-01-01"), "ended"))
+
+
+@query("""
+SELECT o_custkey AS session_key, epoch_ms(max(o_orderdate)) AS ended_ms FROM orders GROUP BY o_custkey HAVING bool_or(o_orderstatus = 'F') ORDER BY 2 DESC, 1 LIMIT 1""")
+def latest_done_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest session with a done turn (94)."""
+    o = _t(spark, sf_dir, "orders")
+    sessions = o.groupBy(F.col("o_custkey").alias("session_key")).agg(F.unix_millis(F.max("o_orderdate").cast("timestamp")).alias("ended_ms"))
+    return selection.latest_done(sessions, o.select(F.col("o_custkey").alias("session_key"), (F.col("o_orderstatus") == "F").alias("is_done")))
+
+
+@query("SELECT s_suppkey AS session_key FROM supplier WHERE s_suppkey % 3 < 2 AND contains('/root/p' || s_nationkey || '/x', '/root/p1')")
+def project_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a project and of some tools (85, 86)."""
+    folder = F.concat(F.lit("/root/p"), F.col("s_nationkey").cast("string"), F.lit("/x"))
+    tool = F.get(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("s_suppkey") % 3).cast("int"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("session_key"), F.array(F.lit("/srv"), folder).alias("cwds"), tool.alias("harness"))
+    return selection.by_harness(selection.by_project(s, " ~/p1 "), ["a", "b"]).select("session_key")
+
+
+@query("""
+WITH w AS (SELECT doc_id, string_split(replace(text, ' ', chr(10)), chr(10)) AS o, string_split(replace(replace(text, ' the ', ' a new '), ' ', chr(10)), chr(10)) AS n FROM documents),
+p AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, greatest(len(o), len(n)) + 1), lambda i: o[i] IS NOT DISTINCT FROM n[i]), false), 0) - 1, len(o)) AS k FROM w WHERE o <> n),
+r AS (SELECT *, list_reverse(o[k + 1:]) AS ro, list_reverse(n[k + 1:]) AS rn FROM p),
+s AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, greatest(len(ro), len(rn)) + 1), lambda i: ro[i] IS NOT DISTINCT FROM rn[i]), false), 0) - 1, len(ro)) AS t FROM r)
+SELECT doc_id, least(len(n) - k - t, 2000) AS n_added, greatest(least(len(o) - k - t, 2000 - (len(n) - k - t)), 0) AS n_removed, md5(array_to_string(n[k + 1:least(len(n) - t, k + 2000)], '|')) AS added_md5 FROM s""")
+def line_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed lines between two versions of a text (32)."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("\n")).alias("o"), F.replace(F.replace("text", F.lit(" the "), F.lit(" a new ")), F.lit(" "), F.lit("\n")).alias("n"))
+    p = d.select("doc_id", patches.line_diff(F.col("o"), F.col("n")).alias("p")).where("p IS NOT NULL")
+    return p.select("doc_id", F.size("p.added").cast("long").alias("n_added"), F.size("p.removed").cast("long").alias("n_removed"), F.md5(F.array_join("p.added", "|")).alias("added_md5"))
+
+
+@query("""
+SELECT o_orderkey, list_sort(list(cast(l_partkey AS VARCHAR)) FILTER (l_returnflag = 'R')) IS NULL AS none_added, count(*) FILTER (l_returnflag = 'R') AS n_added, count(*) FILTER (l_returnflag = 'A') AS n_removed,
+  cast(coalesce(sum(l_partkey) FILTER (l_returnflag = 'R'), 0) AS BIGINT) AS added_sum FROM (SELECT l_orderkey AS o_orderkey, * FROM lineitem) GROUP BY o_orderkey""")
+def structured_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed lines of hunks (31)."""
+    sign = F.when(F.col("l_returnflag") == "R", "+").when(F.col("l_returnflag") == "A", "-").otherwise(" ")
+    hunks = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(F.collect_list(F.struct(F.array(F.lit(" same"), F.concat(sign, F.col("l_partkey").cast("string"))).alias("lines")))).alias("j"))
+    p = hunks.select("o_orderkey", patches.structured_patch(F.col("j")).alias("p"))
+    total = F.aggregate("p.added", F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return p.select("o_orderkey", (F.size("p.added") == 0).alias("none_added"), F.size("p.added").cast("long").alias("n_added"), F.size("p.removed").cast("long").alias("n_removed"), total.alias("added_sum"))
+
+
+@query("""
+WITH m AS (SELECT conv_id, turn, conv_id % 3 AS c, text FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, md5(substr(t, 1, 8192)) AS text_md5, length(t) > 8192 AS truncated FROM (SELECT conv_id, turn, CASE c WHEN 0 THEN text WHEN 1 THEN text || chr(10) || text ELSE 'plain' END AS t FROM m)""")
+def result_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool results as text, from strings, blocks and neither (33)."""
+    c = _t(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    block = F.struct(F.lit("text").alias("type"), F.col("text"))
+    array = F.to_json(F.array(block, F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")), block))
+    string = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r"(?s)^\{\"t\":(.*)\}$", 1)
+    result = F.when(F.col("conv_id") % 3 == 0, string).when(F.col("conv_id") % 3 == 1, array).otherwise(F.lit('{"a": 1}'))
+    r = c.select("conv_id", "turn", patches.result_text(result, F.lit("plain")).alias("r"))
+    return r.select("conv_id", "turn", F.md5("r.text").alias("text_md5"), F.col("r.truncated").alias("truncated"))
+
+
+@query("""
+WITH k AS (SELECT p_partkey, '/home/u/' || p_size || '/f' || p_partkey || '.py' AS far FROM part)
+SELECT p_partkey, 'see p:' || substr(sha256('salt' || chr(0) || far), 1, 8) || '/f' || p_partkey || '.py and src/' || p_partkey || '/, ' || '. but not a/b or http://h/p' AS hidden FROM k""")
+def hashed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths within texts, relative or hashed (280)."""
+    n, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    said = F.concat(F.lit("see /home/u/"), size, F.lit("/f"), n, F.lit(".py and /w/src/"), n, F.lit("/, /w but not a/b or http://h/p"))
+    return _t(spark, sf_dir, "part").select("p_partkey", patches.hash_paths(said, "salt", F.lit("/w/")).alias("hidden"))
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, count(*) FILTER (event_id % 2 = 0) AS e, count(*) FILTER (event_id % 2 = 1) AS f FROM events GROUP BY ALL)
+SELECT event_type AS rule, cast(sum(least(e, f)) AS BIGINT) AS tp, cast(sum(f - least(e, f)) AS BIGINT) AS fp, cast(sum(e - least(e, f)) AS BIGINT) AS fn FROM c GROUP BY 1""")
+def rule_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected and found claims per rule (147)."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("rule"))
+    return rates.confusion(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"])
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice, o_orderkey) AS rank FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT o_custkey AS session_key, o_orderkey AS claim_id, rank FROM r WHERE rank <= 3""")
+def also_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three claims of a turn that are not scored (160)."""
+    verdict = F.when(F.col("o_orderpriority") == "1-URGENT", "NOT_SCORED").otherwise("VERIFIED")
+    j = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_key"), F.col("o_orderstatus").alias("turn_index"), F.col("o_orderkey").alias("claim_id"), F.col("o_totalprice").alias("position"), verdict.alias("verdict"))
+    return rates.also_said(j).select("session_key", "claim_id", "rank")
+
+
+@query("""SELECT p_partkey, '{"a":{"b":[3,null,"x y"],"c":' || p_size || '},"brand":"' || p_brand || '","z":true}' AS j FROM part""")
+def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON with sorted keys (77)."""
+    j = F.concat(F.lit('{ "z": true, "brand": "'), "p_brand", F.lit('", "a": {"c": '), F.col("p_size").cast("string"), F.lit(', "b": [3, null, "x y"]} }'))
+    return _t(spark, sf_dir, "part").select("p_partkey", text.canonical_json(j).alias("j"))
