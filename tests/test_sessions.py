@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import text
 from tracemill.operators import patches, rates, selection, timeline
+from tracemill.sources import messages
 
 
 def one(spark, column, **values):
@@ -110,3 +111,19 @@ def test_confusion(spark):
     found = spark.createDataFrame([("r", 1, "a"), ("r", 2, None), ("r", 2, None), ("p", 1, "a")], schema)
     got = {r.rule: (r.tp, r.fp, r.fn) for r in rates.confusion(want, found, ["doc", "path"]).collect()}
     assert got == {"r": (2, 1, 1), "q": (0, 0, 1), "p": (0, 1, 0)}
+
+
+def test_late_exits(spark):
+    calls = spark.createDataFrame([("s", 1, 0, "c1", "b1", None, "unknown"), ("s", 2, 0, "c2", "b1", None, "unknown"), ("s", 3, 0, "c3", None, 0, "interpreted"), ("t", 1, 0, "c1", "b1", None, "unknown")], "session_key string, seq long, block int, tool_call_id string, background_task_id string, exit int, exit_source string")
+    notes = spark.createDataFrame([("s", 5, "b1", None), ("s", 6, "b1", 2), ("s", 7, "b1", 3), ("s", 8, "", 9)], "session_key string, ord long, task_id string, exit int")
+    got = {(r.session_key, r.tool_call_id): (r.exit, r.exit_source) for r in messages.apply_notifications(calls, notes).collect()}
+    assert got == {("s", "c1"): (3, "notification"), ("s", "c2"): (None, "unknown"), ("s", "c3"): (0, "interpreted"), ("t", "c1"): (None, "unknown")}
+
+
+def test_lines_beside_messages(spark):
+    raw = ['{"type":"user","message":{"content":"go"}}', '{"type":"system","subtype":"turn_duration","durationMs":5}', '{"type":"system","subtype":"turn_duration"}', '{"type":"pr-link","prNumber":1}', '{"type":"attachment","attachment":{"type":"other","filename":"x"}}', '{"type":"attachment"}', '{"type":"system","subtype":"compact_boundary"}', '{"type":"system","subtype":"model_refusal_fallback","originalModel":"a"}']
+    lines = spark.createDataFrame([("p/s.jsonl", i, v, False, False) for i, v in enumerate(raw)], "file string, seq long, value string, bad boolean, count_only boolean")
+    n = messages.with_turns(messages.records(lines))
+    assert [r.active_ms for r in messages.active_time(n).collect()] == [5]
+    assert messages.pr_refs(n).count() == 0 and messages.edited_files(n).count() == 0 and messages.refusals(n).count() == 0
+    assert [tuple(r)[3:] for r in messages.compactions(n).collect()] == [("unknown", 0, 0)]

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.functions import text
+from tracemill.functions import masking, text
 from tracemill.operators import patches, rates, selection, timeline
+from tracemill.sources import messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,3 +195,76 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON with sorted keys (77)."""
     j = F.concat(F.lit('{ "z": true, "brand": "'), "p_brand", F.lit('", "a": {"c": '), F.col("p_size").cast("string"), F.lit(', "b": [3, null, "x y"]} }'))
     return _t(spark, sf_dir, "part").select("p_partkey", text.canonical_json(j).alias("j"))
+
+
+def _lines(df: DataFrame, key: str, seq: str, record: str) -> DataFrame:
+    """Transcript lines as the JSONL scan gives them; the key is the session's id."""
+    return df.select(F.concat(F.lit("p/"), F.col(key).cast("string"), F.lit(".jsonl")).alias("file"), F.col(seq).alias("seq"), F.col(record).alias("value"), F.lit(False).alias("bad"), F.lit(False).alias("count_only"))
+
+
+def _said(kind: str, content: object, **more: object) -> object:
+    message = {k: more.pop(k) for k in ("id", "model", "stop_reason", "usage") if k in more}
+    return F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(content.alias("content"), *[v.alias(k) for k, v in message.items()]).alias("message"), *[v.alias(k) for k, v in more.items()]))
+
+
+@query("""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS o, sum(CASE WHEN role = 'user' AND trim(text) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS ti FROM conversations WHERE role <> 'system' AND text IS NOT NULL)
+SELECT 'claude-code:' || conv_id AS session_key, cast(ti AS INT) AS turn_index, min(o) AS seq_start, max(o) AS seq_end, md5(arg_min(text, o) FILTER (role = 'user' AND trim(text) <> '')) AS prompt_md5,
+  md5(arg_max(text, o) FILTER (role = 'assistant' AND trim(text) <> '')) AS final_md5, coalesce(max(o) FILTER (role = 'assistant' AND trim(text) <> ''), max(o)) AS final_seq FROM t WHERE ti >= 0 GROUP BY conv_id, ti""")
+def transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Message lines read and cut into turns (13, 15, 19, 24-27)."""
+    c = _t(spark, sf_dir, "conversations").where("role <> 'system' AND text IS NOT NULL")
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
+    line = F.when(F.col("role") == "user", _said("user", block)).otherwise(_said("assistant", block, model=F.lit("m"), stop_reason=F.lit("end_turn")))
+    turns = messages.turns(messages.with_turns(messages.records(_lines(c.withColumn("r", line), "conv_id", "turn", "r"))))
+    return turns.select("session_key", "turn_index", "seq_start", "seq_end", F.md5("prompt").alias("prompt_md5"), F.md5("final_text").alias("final_md5"), "final_seq")
+
+
+@query("""
+WITH t AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1 AS ti FROM events)
+SELECT 'claude-code:' || user_id AS session_key, 'c' || event_id AS tool_call_id, cast(ti AS INT) AS turn_index, CASE WHEN event_type = 'view' THEN 'Agent' ELSE 'Bash' END AS tool,
+  cast(CASE WHEN event_id % 7 = 0 THEN event_id % 5 WHEN event_type = 'view' THEN NULL WHEN event_type = 'error' THEN 1 + event_id % 3 ELSE 0 END AS INT) AS exit,
+  CASE WHEN event_id % 7 = 0 THEN 'notification' WHEN event_type = 'view' THEN 'unknown' WHEN event_type = 'error' THEN 'content' ELSE 'interpreted' END AS exit_source FROM t WHERE event_type <> 'signup'""")
+def transcript_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls met by their results, and by the notifications that bring exits late (18, 20, 29, 30, 39-41)."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    text_of, late = n.cast("string"), n % 7 == 0
+    call = F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("c"), text_of).alias("id"), F.when(kind == "view", "Task").otherwise("Bash").alias("name"), F.struct(F.lit("ls").alias("command")).alias("input")))
+    answer = F.when(kind == "error", F.concat(F.lit("Exit code "), (1 + n % 3).cast("string"))).otherwise("fine")
+    result = F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("c"), text_of).alias("tool_use_id"), answer.alias("content"), (kind == "error").alias("is_error")))
+    note = F.concat(F.lit("<task-notification><task-id>b"), text_of, F.lit("</task-id><status>completed</status> exit code "), (n % 5).cast("string"), F.lit("</task-notification>"))
+    own = F.array(_said("assistant", call), _said("user", result, toolUseResult=F.struct(F.when(late, F.concat(F.lit("b"), text_of)).alias("backgroundTaskId"))), F.when(late, _said("user", note)))
+    lines = _t(spark, sf_dir, "events").select("user_id", "event_id", F.posexplode(F.array_compact(F.when(kind == "signup", F.array(_said("user", F.lit("go on")))).otherwise(own))).alias("i", "r"))
+    numbered = messages.with_turns(messages.records(_lines(lines.withColumn("at", n * 10 + F.col("i")), "user_id", "at", "r")))
+    return messages.apply_notifications(messages.tool_calls(numbered), messages.notifications(numbered)).select("session_key", "tool_call_id", "turn_index", "tool", "exit", "exit_source")
+
+
+@query("""
+WITH t AS (SELECT 'claude-code:' || user_id AS session_key, event_type AS e, event_id AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events)
+SELECT session_key, CASE e WHEN 'click' THEN 'edited' WHEN 'purchase' THEN 'pr' WHEN 'view' THEN 'cut' ELSE 'refused' END AS mark, seq, CASE e WHEN 'click' THEN 'f' || n WHEN 'purchase' THEN 'o/r#' || n WHEN 'view' THEN 'auto ' || n || ' 0' ELSE 'big small' END AS detail FROM t WHERE e <> 'signup'""")
+def transcript_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines beside the messages: edited files, pull requests, cut contexts, refusals (21-23)."""
+    n = F.col("event_id")
+    record = lambda **m: F.to_json(F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in m.items()]))
+    line = (
+        F.when(F.col("event_type") == "click", record(type="attachment", attachment=F.struct(F.lit("edited_text_file").alias("type"), F.concat(F.lit("f"), n.cast("string")).alias("filename"))))
+        .when(F.col("event_type") == "purchase", record(type="pr-link", prNumber=n, prUrl="https://h/o/r", prRepository="o/r"))
+        .when(F.col("event_type") == "view", record(type="system", subtype="compact_boundary", compactMetadata=F.struct(F.lit("auto").alias("trigger"), n.alias("preTokens"))))
+        .when(F.col("event_type") == "error", record(type="system", subtype="model_refusal_fallback", originalModel="big", fallbackModel="small"))
+        .otherwise(record(type="system", subtype="turn_duration", durationMs=n))
+    )
+    numbered = messages.with_turns(messages.records(_lines(_t(spark, sf_dir, "events").withColumn("r", line), "user_id", "event_id", "r")))
+    mark = lambda df, name, *parts: df.select("session_key", F.lit(name).alias("mark"), "seq", F.concat(*parts).alias("detail"))
+    edited = mark(messages.edited_files(numbered), "edited", "path")
+    prs = mark(messages.pr_refs(numbered), "pr", "pr_repository", F.lit("#"), F.col("pr_number").cast("string"))
+    cuts = mark(messages.compactions(numbered), "cut", "trigger", F.lit(" "), F.col("pre_tokens").cast("string"), F.lit(" "), F.col("post_tokens").cast("string"))
+    refused = mark(messages.refusals(numbered), "refused", "original_model", F.lit(" "), "fallback_model")
+    return edited.unionByName(prs).unionByName(cuts).unionByName(refused)
+
+
+@query("""SELECT c_custkey, 'export API_TOKEN=[masked] then [masked] for ' || c_name AS masked FROM customer""")
+def masked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials masked, assigned ones after their name (278)."""
+    h = F.md5("c_name")
+    said = F.concat(F.lit("export API_TOKEN="), h, F.lit(" then AKIA"), F.upper(F.substring(h, 1, 16)), F.lit(" for "), "c_name")
+    return _t(spark, sf_dir, "customer").select("c_custkey", masking.mask_secrets(said).alias("masked"))

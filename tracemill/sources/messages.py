@@ -19,7 +19,7 @@ from tracemill.sources.hook_ledger import tool_kind
 COUNT_ONLY = ("file-history-snapshot", "progress", "queue-operation", "last-prompt")
 _USAGE = "STRUCT<input_tokens: BIGINT, output_tokens: BIGINT, cache_read_input_tokens: BIGINT, cache_creation_input_tokens: BIGINT, cache_creation: MAP<STRING, BIGINT>, output_tokens_details: MAP<STRING, BIGINT>>"
 LINE = (
-    "type STRING, subtype STRING, uuid STRING, parentUuid STRING, isSidechain BOOLEAN, isMeta BOOLEAN, timestamp STRING, sessionId STRING, cwd STRING, version STRING, gitBranch STRING, promptId STRING, requestId STRING, agentId STRING, summary STRING, prNumber INT, prUrl STRING, isCompactSummary BOOLEAN, toolUseResult STRING, "
+    "type STRING, subtype STRING, uuid STRING, parentUuid STRING, isSidechain BOOLEAN, isMeta BOOLEAN, timestamp STRING, sessionId STRING, cwd STRING, version STRING, gitBranch STRING, promptId STRING, requestId STRING, agentId STRING, summary STRING, prNumber INT, prUrl STRING, prRepository STRING, attachment STRUCT<type: STRING, filename: STRING>, durationMs BIGINT, compactMetadata STRUCT<trigger: STRING, preTokens: BIGINT, postTokens: BIGINT>, originalModel STRING, fallbackModel STRING, apiRefusalCategory STRING, isCompactSummary BOOLEAN, toolUseResult STRING, "
     f"message STRUCT<id: STRING, model: STRING, role: STRING, stop_reason: STRING, content: STRING, usage: {_USAGE}>"
 )
 _BLOCKS = "array<struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
@@ -74,6 +74,11 @@ def turns(numbered: DataFrame) -> DataFrame:
     )
 
 
+def legacy_tool(name: Column) -> Column:
+    """Today's name of a renamed tool (41)."""
+    return F.when(name == "Task", "Agent").when(name == "MultiEdit", "Edit").otherwise(name)
+
+
 def tool_calls(numbered: DataFrame) -> DataFrame:
     """Tool-use blocks with the first result of each (18-20, 29, 30, 368)."""
     uses = numbered.where("type = 'assistant'").select("session_key", "turn_index", "ord", "cwd", "at_ms", "agentId", F.posexplode("blocks").alias("block", "b")).where("b.type = 'tool_use'")
@@ -95,7 +100,7 @@ def tool_calls(numbered: DataFrame) -> DataFrame:
     one = F.struct(F.get_json_object(arguments, "$.old_string").alias("old"), F.coalesce(F.get_json_object(arguments, "$.new_string"), F.get_json_object(arguments, "$.content")).alias("new"))
     many = F.transform(F.from_json(F.get_json_object(arguments, "$.edits"), "array<struct<old_string:string,new_string:string>>"), lambda e: F.struct(e["old_string"].alias("old"), e["new_string"].alias("new")))
     return joined.select(
-        "session_key", "turn_index", F.col("ord").alias("seq"), "block", "tool_call_id", F.col("b.name").alias("tool"), tool_kind(F.col("b.name"), F.lit(None).cast("string")).alias("kind"), F.get_json_object(arguments, "$.command").alias("command"), "cwd", "at_ms", "agentId",
+        "session_key", "turn_index", F.col("ord").alias("seq"), "block", "tool_call_id", legacy_tool(F.col("b.name")).alias("tool"), F.get_json_object(extra, "$.backgroundTaskId").alias("background_task_id"), tool_kind(F.col("b.name"), F.lit(None).cast("string")).alias("kind"), F.get_json_object(arguments, "$.command").alias("command"), "cwd", "at_ms", "agentId",
         F.array_compact(F.array(path)).alias("paths"), F.get_json_object(arguments, "$.url").alias("url"), stdout.alias("output"), code.alias("exit"), F.when(said != "", "content").when(code == 0, "interpreted").otherwise("unknown").alias("exit_source"),
         failed.alias("is_error"), denied.alias("denied"), F.rlike(F.coalesce(plain, F.lit("")), F.lit("timed out after")).alias("timed_out"), F.contains(F.coalesce(plain, F.lit("")), F.lit("[output truncated")).alias("truncated"), background.alias("background"), F.coalesce(many, F.array(one)).alias("edits"), F.coalesce("repeats", F.lit(0)).alias("repeats"),
     )
@@ -108,6 +113,43 @@ def notifications(numbered: DataFrame) -> DataFrame:
     return numbered.where("trigger = 'notification'").select("session_key", "ord", tag("task-id").alias("task_id"), tag("status").alias("status"), F.when(code != "", code.cast("int")).alias("exit"))
 
 
+def apply_notifications(calls: DataFrame, notes: DataFrame) -> DataFrame:
+    """Calls with the exits that came late (40): the last notification of a task that names an exit gives it to the first call of that task."""
+    late = notes.where("exit IS NOT NULL AND task_id <> ''").groupBy("session_key", F.col("task_id").alias("background_task_id")).agg(F.max_by("exit", "ord").alias("_exit"))
+    first = calls.where("background_task_id IS NOT NULL").groupBy("session_key", "background_task_id").agg(F.min_by("tool_call_id", F.struct("seq", "block")).alias("tool_call_id"))
+    known = first.join(late, ["session_key", "background_task_id"]).select("session_key", "tool_call_id", "_exit")
+    joined = calls.join(known, ["session_key", "tool_call_id"], "left")
+    return joined.withColumn("exit_source", F.when(F.col("_exit").isNotNull(), "notification").otherwise(F.col("exit_source"))).withColumn("exit", F.coalesce("_exit", "exit")).drop("_exit")
+
+
+def active_time(numbered: DataFrame) -> DataFrame:
+    """Milliseconds that the tool says a turn was worked on (21). A duration counts for the turn that its line stands in."""
+    return numbered.where("type = 'system' AND subtype = 'turn_duration' AND turn_index >= 0").groupBy("session_key", "turn_index").agg(F.sum(F.coalesce("durationMs", F.lit(0).cast("long"))).alias("active_ms"))
+
+
+def compactions(numbered: DataFrame) -> DataFrame:
+    """Where a session's context was cut down, with tokens before and after (21)."""
+    meta = lambda f, other: F.coalesce(f"compactMetadata.{f}", other)
+    zero = F.lit(0).cast("long")
+    return numbered.where("type = 'system' AND subtype = 'compact_boundary'").select("session_key", "turn_index", F.col("ord").alias("seq"), meta("trigger", F.lit("unknown")).alias("trigger"), meta("preTokens", zero).alias("pre_tokens"), meta("postTokens", zero).alias("post_tokens"))
+
+
+def refusals(numbered: DataFrame) -> DataFrame:
+    """Requests that another model took over (21)."""
+    whole = numbered.where("type = 'system' AND subtype = 'model_refusal_fallback' AND originalModel IS NOT NULL AND fallbackModel IS NOT NULL")
+    return whole.select("session_key", F.col("ord").alias("seq"), F.col("originalModel").alias("original_model"), F.col("fallbackModel").alias("fallback_model"), F.col("apiRefusalCategory").alias("category"), F.col("requestId").alias("request_id"))
+
+
+def edited_files(numbered: DataFrame) -> DataFrame:
+    """Files that a person edited meanwhile (22)."""
+    return numbered.where("type = 'attachment' AND attachment.type = 'edited_text_file' AND attachment.filename IS NOT NULL").select("session_key", "turn_index", F.col("ord").alias("seq"), F.col("attachment.filename").alias("path"))
+
+
+def pr_refs(numbered: DataFrame) -> DataFrame:
+    """Pull requests that a session names (23)."""
+    return numbered.where("type = 'pr-link' AND prNumber IS NOT NULL AND prUrl IS NOT NULL").select("session_key", F.col("ord").alias("seq"), F.col("prNumber").alias("pr_number"), F.col("prUrl").alias("pr_url"), F.coalesce("prRepository", F.lit("")).alias("pr_repository"), "at_ms")
+
+
 def usage_rows(numbered: DataFrame) -> DataFrame:
     """One row a message: its last completed line, tokens in buckets (35-37, 375)."""
     lines = numbered.where("type = 'assistant' AND message.usage IS NOT NULL").select("session_key", "turn_index", F.col("ord").alias("seq"), F.col("message.id").alias("message_id"), "requestId", F.col("agentId").alias("agent_id"), F.col("message.model").alias("model"), F.col("message.stop_reason").alias("stop_reason"), "at_ms", F.col("message.usage").alias("u"), F.coalesce("message.usage.output_tokens", F.lit(0)).alias("out"))
