@@ -1,5 +1,7 @@
 """Edges of the timeline, selection and patch operators: nulls, empty inputs, caps, ties."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tracemill.functions import text
@@ -105,6 +107,24 @@ def test_selectors(spark):
     assert sorted(map(tuple, selection.has_warnings(did).collect())) == [("s", 0, True), ("s", 1, False)]
 
 
+def test_selectors_with_one_beginning(spark):
+    n = 60_000  # as pairs of names and selectors with the same first characters: 3.6 billion
+    s = spark.range(n).select(F.col("id").alias("session_key"), F.col("id").cast("string").alias("session_id"), F.lit(None).cast("string").alias("short_id"), F.concat(F.lit("log-"), "id").alias("file"))
+    began = time.monotonic()
+    got = {r.selector: (r.status, r.session_key) for r in selection.resolve_ids(s, s.select(F.upper("file").alias("selector")).union(s.select(F.substring("session_id", 1, 2)))).collect()}
+    assert time.monotonic() - began < 60
+    want = {f"LOG-{i}": ("found", i) if i and 10 * i >= n else ("found", 0) if not i else ("ambiguous", None) for i in range(n)}
+    assert got == want | {str(i): ("found", i) for i in range(100)}  # whole ids of two characters are none too short
+
+
+def test_selectors_of_odd_lengths(spark):
+    s = spark.createDataFrame([("a", "", "x", "f"), ("b", "Ab", "ab", "abcd"), ("c", "ab", "abcdé", None), ("d", None, None, None)], "session_key string, session_id string, short_id string, file string")
+    typed = spark.createDataFrame([("",), (None,), ("x",), ("AB",), ("abcd",), ("ABCDÉ",), ("abcdef",), ("f",)], "selector string")
+    got = {r.selector: (r.status, r.session_key) for r in selection.resolve_ids(s, typed).collect()}
+    assert got == {"": ("found", "a"), None: ("not-found", None), "x": ("too-short", None), "AB": ("ambiguous", None), "abcd": ("ambiguous", None), "ABCDÉ": ("found", "c"), "abcdef": ("not-found", None), "f": ("too-short", None)}
+    assert selection.resolve_ids(s, typed.limit(0)).count() == 0
+
+
 def test_confusion(spark):
     schema = "rule string, doc int, path string"
     want = spark.createDataFrame([("r", 1, "a"), ("r", 1, "a"), ("r", 2, None), ("q", 3, "b")], schema)

@@ -49,20 +49,22 @@ def select_turns(turns: DataFrame, wanted: int | None = None) -> DataFrame:
 def resolve_ids(sessions: DataFrame, selectors: DataFrame) -> DataFrame:
     """What each typed selector means: `found` with its session, `ambiguous`, `too-short` or `not-found` (95).
 
-    A whole session id comes first, then the beginning of an id, short id or file name, in either case. Names
-    and selectors meet by their first characters, so that this is an equality join.
+    A whole session id comes first, then the beginning of an id, short id or file name, in either case. Each name is
+    cut to the lengths that were typed, and its beginnings, one row each with the sessions that they lead to, meet the
+    selectors by equality: however many names share their first characters, no name meets more selectors than it has
+    beginnings.
     """
     name = lambda c, whole: F.struct(F.lower(c).alias("name"), F.lit(whole).alias("whole"))
     names = sessions.select("session_key", F.inline(F.array(name("session_id", True), name("short_id", False), name("file", False))))
-    head = lambda c: F.substring(c, 1, MIN_PREFIX)
     typed = selectors.select("selector").distinct().withColumn("s", F.lower("selector"))
     long = F.char_length("s") >= MIN_PREFIX
-    exact = F.col("whole") & (F.col("name") == F.col("s"))
-    hits = names.withColumn("head", head("name")).join(typed.withColumn("head", head("s")), "head").where(exact | (long & F.startswith("name", "s")))
+    lengths = typed.select(F.char_length("s").alias("k")).distinct()  # as many rows as the longest selector has characters, at most
+    exact = F.col("whole") & (F.col("k") == F.char_length("name"))
+    begun = names.join(F.broadcast(lengths), (F.col("k") <= F.char_length("name")) & (exact | (F.col("k") >= MIN_PREFIX)))
     own = F.when(exact, F.col("session_key"))
-    per = hits.groupBy("selector").agg(F.min(own).alias("e0"), F.max(own).alias("e1"), F.min("session_key").alias("a0"), F.max("session_key").alias("a1"))
+    per = begun.groupBy(F.substring("name", F.lit(1), F.col("k")).alias("s")).agg(F.min(own).alias("e0"), F.max(own).alias("e1"), F.min("session_key").alias("a0"), F.max("session_key").alias("a1"))
     status = F.when(F.col("e0").isNotNull(), F.when(F.col("e0") == F.col("e1"), "found").otherwise("ambiguous")).when(~long, "too-short").when(F.col("a0").isNull(), "not-found").when(F.col("a0") == F.col("a1"), "found").otherwise("ambiguous")
-    out = typed.join(per, "selector", "left").withColumn("status", status)
+    out = typed.join(per, "s", "left").withColumn("status", status)
     return out.select("selector", "status", F.when(F.col("status") == "found", F.coalesce("e0", "a0")).alias("session_key"))
 
 
