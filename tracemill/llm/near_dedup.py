@@ -131,15 +131,24 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     return chosen.mapInPandas(run, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>")
 
 
-def survivors_of(reps: DataFrame, need: int) -> DataFrame:
-    """rep, n, have: representatives with at least `need` values that others have too, and those values with their frequencies.
+def representatives(base: DataFrame) -> DataFrame:
+    """h1, h2, rep (the smallest id; null if no row has one), other, n, sig: a row for each set. rep and other name a set that has an id.
 
-    Other columns of reps but sig stay; together they must name a set, since sets that share an id may have one rep.
+    Equal sets have equal signatures, so any row's will do. Only where several sets have one rep, `other` is h1, else 0:
+    names are sent with every value of a signature, and zeros take no room.
     """
-    names = [c for c in reps.columns if c != "sig"]
-    tokens = reps.select(*names, F.posexplode("sig").alias("coord", "v")).select(*names, F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("token"))
+    sets = written(base.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    shared = written(sets.where("rep IS NOT NULL").groupBy("rep").agg(F.count("*").alias("sets")).where("sets > 1"))
+    return sets.join(shared, "rep", "left").withColumn("other", F.when(F.col("sets").isNotNull(), F.col("h1")).otherwise(F.lit(0).cast("long"))).drop("sets")
+
+
+def survivors_of(reps: DataFrame, need: int) -> DataFrame:
+    """rep, h1, n, have: representatives with at least `need` values that others have too, and those values with their frequencies."""
+    name = ["rep", "other"]
+    tokens = reps.select(*name, F.posexplode("sig").alias("coord", "v")).select(*name, F.shiftleft(F.col("coord").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    return tokens.join(counts, "token").groupBy(*names).agg(F.collect_list(F.struct("df", "token")).alias("have")).where(F.size("have") >= need)
+    left = tokens.join(counts, "token").groupBy(*name).agg(F.collect_list(F.struct("df", "token")).alias("have")).where(F.size("have") >= need)
+    return left.join(reps.select(*name, "h1", "n"), name).select("rep", "h1", "n", "have")
 
 
 _POST = "token long, df long, coord int, rep long, h1 long, n long, vec binary"
@@ -166,7 +175,7 @@ def posts_of(survivors: DataFrame, need: int, dense: bool) -> DataFrame:
                 out += [(token, df, token >> 32, rep, h1, n, vec) for df, token in prefix]
             yield pd.DataFrame(out, columns=["token", "df", "coord", "rep", "h1", "n", "vec"])
 
-    return survivors.select("rep", "h1", "n", "have").mapInPandas(run, _POST)
+    return survivors.mapInPandas(run, _POST)
 
 
 class _Groups:
@@ -280,21 +289,26 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rep, h1, grams: the sets of the rows whose id is among `needed` (rep); rows that repeat an id and its text have one."""
-    needed = written(needed.distinct())
+def sets_of(docs: DataFrame, base: DataFrame, found: DataFrame, dense: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """rep, h1, grams: the sets of the rows whose id is a rep of found, and of dense; rows that repeat an id and its text have one."""
+    asked = found.select("rep", F.lit(False).alias("long")).unionByName(dense.select("rep", F.lit(True).alias("long"))).groupBy("rep").agg(F.bool_or(~F.col("long")).alias("in_found"), F.bool_or("long").alias("in_dense"))
+    often = base.groupBy(F.col("doc_id").alias("rep")).agg(F.count("*").alias("rows")).where("rows > 1").select("rep", F.lit(True).alias("again"))
+    needed = written(asked.join(often, "rep", "left").withColumn("again", F.coalesce("again", F.lit(False))))
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(needed, "rep", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(needed, "rep")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
                 grams = [shingles(t, words).astype("<u8").tobytes() for t in part["text"]]
-                yield pd.DataFrame({"rep": part["rep"], "h1": [int.from_bytes(xxhash.xxh128_digest(g)[:8], "little", signed=True) for g in grams], "grams": grams})
+                yield part.drop(columns="text").assign(h1=[int.from_bytes(xxhash.xxh128_digest(g)[:8], "little", signed=True) for g in grams], grams=grams)
 
-    return checkpointed(texts.mapInPandas(cut, "rep long, h1 long, grams binary").dropDuplicates(["rep", "h1"]))
+    sets = checkpointed(texts.mapInPandas(cut, "rep long, in_found boolean, in_dense boolean, again boolean, h1 long, grams binary"))
+    # Only rows whose id is repeated are sent anywhere to become one.
+    once = sets.where("NOT again").unionByName(sets.where("again").dropDuplicates(["rep", "h1"]))
+    return tuple(once.where(of).select("rep", "h1", "grams") for of in ("in_found", "in_dense"))
 
 
 class _Joined:
@@ -516,13 +530,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     small_batches(docs.sparkSession)
     need = match_threshold(percent / 100) if need is None else need
     base = checkpointed(signatures(docs, words, id_col, text_col))
-    groups = base.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = base.where("n_shingles > 0").join(groups.where("rep IS NOT NULL").select("h1", "h2", "rep"), ["h1", "h2"]).where(F.col("doc_id") == F.col("rep")).select("rep", "h1", "h2", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["h1", "h2"])
-    left = checkpointed(survivors_of(reps, need))
+    every = representatives(base)
+    groups = every.select("h1", "h2", "rep")
+    left = checkpointed(survivors_of(every.where("rep IS NOT NULL"), need))
     found = checkpointed(candidates(posts_of(left, need, False), need, percent))
     dense = checkpointed(posts_of(left, need, True))
-    sets = sets_of(docs, found.select("rep").unionByName(dense.select("rep")), words, id_col, text_col)
-    links = confirm(found, sets, percent).unionByName(dense_links(dense, sets, need, percent))
+    in_found, in_dense = sets_of(docs, base, found, dense, words, id_col, text_col)
+    links = confirm(found, in_found, percent).unionByName(dense_links(dense, in_dense, need, percent))
     # Rows that share an id are one document: its sets' representatives are linked.
     shared = base.where("n_shingles > 0 AND doc_id IS NOT NULL").join(groups, ["h1", "h2"]).where(F.col("doc_id") != F.col("rep")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     roots = components(links.unionByName(shared))
