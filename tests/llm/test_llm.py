@@ -383,6 +383,26 @@ def test_documents_without_ids_are_dropped_by_their_texts(spark):
     assert sum(r["doc_id"] == 2 for r in got) == 1
 
 
+def test_near_duplicates_send_little(spark):
+    rng = random.Random(3)
+    texts = {}
+    for i in range(0, 800, 2):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(300)]
+        texts[i], texts[i + 1] = " ".join(words), " ".join([*words[:-3], "x", "y", f"z{i}"])
+    docs = docs_of(spark, [texts[i] for i in sorted(texts)]).cache()
+    docs.count()
+    sc = spark.sparkContext._jsc.sc()
+
+    def sent():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = sent()
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(near_dedup.near_duplicates(docs, 4))}
+    assert got == {i: i - i % 2 for i in texts}
+    assert sent() - before < 2.5 * sum(map(len, texts.values()))
+
+
 def test_match_threshold():
     t = near_dedup.match_threshold(0.8, 64, 1e-6)
     assert sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(t)) <= 1e-6
